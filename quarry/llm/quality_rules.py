@@ -5,16 +5,16 @@ documents are counted by pattern; expectation-maximisation over those counts est
 good and bad documents draw each vote from each rule (a rule's accuracy), and the posterior probability of quality
 weighs the votes of a document by them. A text that fails the base limits goes whatever the posterior.
 
-Rules, as (measure, good if within, bad if outside), all per word unless named otherwise:
-    symbols      [#*$%&|<>] characters   good <= 0.02   bad > 0.20
-    shouting     upper-case among A-Z a-z letters   good <= 0.20   bad > 0.50
-    bangs        '!' characters          good <= 0.05   bad > 0.30
-    word length  code points             good 2.5..9    bad < 2 or > 14
-    sentences    words ending in . ! ?   good 0.01..0.4   bad: none in 40 words or more
-    repetition   words in repeated 3-word windows   good <= 0.15   bad > 0.40
-    repeated lines   of the lines with a word   good <= 0.10   bad > 0.30
-    letters      words that hold no letter or digit   good <= 0.05   bad > 0.20
-    length       words                   good >= 50     bad < 20
+Rules, all per word unless named otherwise. All vote bad or abstain, but for two that can also vote good:
+    symbols          [#*$%&|<>] characters       bad > 0.20
+    shouting         upper-case among A-Z a-z letters   bad > 0.50
+    bangs            '!' characters              bad > 0.30
+    bare             words that hold no letter or digit   bad > 0.20
+    repetition       words in repeated 3-word windows   bad > 0.40
+    repeated_lines   of the lines with a word    bad > 0.50
+    word_length      code points                 bad < 2 or > 14   good 2.5 to 9
+    sentences        words ending in . ! ?       bad: none in 40 words or more   good 0.01 to 0.4
+A rule votes good only on texts of 50 words or more; on fewer its rates say little.
 """
 
 from __future__ import annotations
@@ -68,41 +68,41 @@ def measures(texts: list) -> list[list]:
     return [list(x) for x in zip(*map(measure, texts))] or [[] for _ in MEASURES]
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    vote = F.when(bad, -1)
+    return (vote if good is None else vote.when(good, 1)).otherwise(0)
 
 
 def votes() -> dict[str, Column]:
-    """The rules over the MEASURES columns; a text without words is voted on by its length alone."""
+    """The rules over the MEASURES columns; all abstain on a text without words."""
     c, words = F.col, F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    some = c("n_words") > 0
+    enough = c("n_words") >= MIN_WORDS
     rate = lambda name: c(name) / words
-    upper, repeats, lines = c("n_upper") / F.greatest(c("n_letters"), F.lit(1)), rate("n_repeat_words"), c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1))
-    length = rate("word_chars")
+    length, ends = rate("word_chars"), rate("n_ends")
     return {
-        "symbols": _vote(some & (rate("n_symbols") <= 0.02), rate("n_symbols") > 0.2),
-        "shouting": _vote(some & (upper <= 0.2), upper > 0.5),
-        "bangs": _vote(some & (rate("n_bangs") <= 0.05), rate("n_bangs") > 0.3),
-        "word_length": _vote(length.between(2.5, 9), some & ((length < 2) | (length > 14))),
-        "sentences": _vote(rate("n_ends").between(0.01, 0.4), (c("n_ends") == 0) & (c("n_words") >= 40)),
-        "repetition": _vote(some & (repeats <= 0.15), repeats > 0.4),
-        "repeated_lines": _vote(some & (lines <= 0.1), lines > 0.3),
-        "letters": _vote(some & (rate("n_bare") <= 0.05), rate("n_bare") > 0.2),
-        "length": _vote(c("n_words") >= MIN_WORDS, c("n_words") < 20),
+        "symbols": _vote(rate("n_symbols") > 0.2),
+        "shouting": _vote(c("n_upper") / F.greatest(c("n_letters"), F.lit(1)) > 0.5),
+        "bangs": _vote(rate("n_bangs") > 0.3),
+        "bare": _vote(rate("n_bare") > 0.2),
+        "repetition": _vote(rate("n_repeat_words") > 0.4),
+        "repeated_lines": _vote(c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)) > 0.5),
+        "word_length": _vote(enough & ((length < 2) | (length > 14)), enough & length.between(2.5, 9)),
+        "sentences": _vote((c("n_ends") == 0) & (c("n_words") >= 40), enough & ends.between(0.01, 0.4)),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, smooth: float = 1.0, prior: float = 0.8) -> tuple[float, list[dict[int, float]]]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, smooth: float = 1.0, prior: float = 0.8, sure: float = 1000.0) -> tuple[float, list[dict[int, float]]]:
     """EM over (votes, count): the intercept and, for each rule and vote, the log-odds of quality that it adds.
 
-    A two-class model with votes independent given the class; it starts from the balance of the votes. An abstention is an
-    outcome of its own, but bears no weight on the posterior: a rule that does not apply says nothing. A vote for good never
-    counts against quality and one for bad never for it. No documents: prior odds and no weights.
+    A two-class model with votes independent given the class; it starts by doubting what drew any vote for bad. An abstention is an
+    outcome of its own. Rules are assumed better
+    than chance, which keeps the two classes from trading places: a vote for bad is ``sure`` times likelier in a bad text at least,
+    and neither a vote for good nor an abstention counts against quality. No documents: prior odds and no weights.
     """
     if not patterns:
         return math.log(prior / (1 - prior)), []
     rules = range(len(patterns[0][0]))
-    belief = [1 / (1 + math.exp(-(sum(v) + 2 * v.count(-1) * -1))) for v, _ in patterns]
+    belief = [0.1 if -1 in v else 0.95 for v, _ in patterns]
     start, weights = 0.0, []
     for _ in range(rounds):
         good = sum(b * n for b, (_, n) in zip(belief, patterns, strict=True))
@@ -115,7 +115,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, smo
                 tally[v[j]][0] += b * n
                 tally[v[j]][1] += (1 - b) * n
             odds = {v: math.log(g / (good + 4 * smooth)) - math.log(x / (bad + 4 * smooth)) for v, (g, x) in tally.items()}
-            weights.append({-1: min(0.0, odds[-1]), 0: 0.0, 1: max(0.0, odds[1])})
+            weights.append({-1: min(-math.log(sure), odds[-1]), 0: max(0.0, odds[0]), 1: max(0.0, odds[1])})
         new = [1 / (1 + math.exp(-max(-700.0, min(700.0, start + sum(w[x] for w, x in zip(weights, v, strict=True)))))) for v, _ in patterns]
         moved = max(abs(a - b) for a, b in zip(new, belief, strict=True))
         belief = new
@@ -129,7 +129,7 @@ def with_measures(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
 
 
 def judge(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Adds base_failed, quality_probability, and kept. Runs one count over ``measured`` (at most 3^9 vote patterns reach the
+    """Adds base_failed, quality_probability, and kept. Runs one count over ``measured`` (at most 3^8 vote patterns reach the
     driver, whatever the input), so that should be a written table."""
     rules = votes()
     counted = measured.groupBy(*[v.cast("int").alias(k) for k, v in rules.items()]).count().collect()
