@@ -8,14 +8,14 @@ keyed in lower case, as the normaliser lowers them.
 
 from __future__ import annotations
 
-import array
 import re
-import sys
 from functools import lru_cache
 
+import numpy as np
+
 TAIL = re.compile(rb"([0-9A-Za-z])([!-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|\Z)")
-#: Chunks that the memo of a worker holds at most; it is emptied then.
-MEMO = 400_000
+#: Chunks that the memo of a worker holds, about; it is emptied then.
+MEMO = 800_000
 
 
 class ChunkTokenizer:
@@ -27,38 +27,42 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
-        self.whole = bool(self.tokenizer.get_added_tokens_decoder())
+        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())], bool)
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Many chunks at once: words of letters only are one token run each, which the word-end marks of the ids part again."""
+        if all(map(str.isalpha, chunks)):
+            ids = np.array(self.tokenizer.encode(" ".join(chunks), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(chunks):
+                raw, stops = ids.tobytes(), (4 * ends).tolist()
+                return [raw[a:b] for a, b in zip([0, *stops], stops)]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
-    def _fill(self, chunks: list[bytes]) -> None:
-        if len(self.memo) + len(chunks) > MEMO:
-            self.memo.clear()
-        for at in range(0, len(chunks), 4096):
-            part = chunks[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
-                ids = array.array("I", found.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                self.memo[chunk] = ids.tobytes()
+    def _fill(self, new: list[bytes]) -> None:
+        texts = {c: c.decode("utf-8", "replace") for c in new}
+        words = [c for c, t in texts.items() if t.isalpha()]
+        for group in (words, [c for c in new if not texts[c].isalpha()]):
+            for at in range(0, len(group), 512):
+                part = group[at : at + 512]
+                self.memo.update(zip(part, self._encode([texts[c] for c in part]), strict=True))
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers; none for null."""
         if not text:
             return b""
         if "<|" in text:  # the tokenizer's own markers may stand in the text: leave every place to it
-            ids = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-            return ids.tobytes()
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         raw = text.encode("utf-8", "replace")
         raw = raw.lower() if text.isascii() else raw
         chunks = TAIL.sub(rb"\1 \2", raw).split()
-        new = set(chunks).difference(self.memo)
-        if len(new) > MEMO // 4:  # too many for the memo to help
-            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if new:
-            before = len(self.memo)
-            self._fill(list(new))
-            if len(self.memo) < before:
-                self._fill(list(set(chunks).difference(self.memo)))
-        return b"".join(map(self.memo.__getitem__, chunks))
+        found = list(map(self.memo.get, chunks))
+        if None in found:
+            if len(self.memo) + len(chunks) > MEMO:
+                self.memo.clear()
+            self._fill(list({c for c in chunks if c not in self.memo}))
+            found = list(map(self.memo.__getitem__, chunks))
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
