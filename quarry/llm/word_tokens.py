@@ -2,14 +2,15 @@
 
 The tokenizer drops white space and never lets a token cross it, and its normaliser neither joins nor reorders characters
 across ASCII white space, so the ids of a text are those of its chunks in order. A chunk is cut once more before a tail of
-ASCII punctuation that follows an ASCII letter or digit: such a place is always a token boundary, too. ASCII-only chunks are
-keyed in lower case, as the normaliser lowers them.
+ASCII punctuation that follows an ASCII letter or digit: such a place is always a token boundary, too. Texts
+whose composition does not depend on the case of their ASCII letters are keyed in lower case, as the normaliser lowers them.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -54,7 +55,9 @@ class ChunkTokenizer:
         if "<|" in text:  # the tokenizer's own markers may stand in the text: leave every place to it
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         raw = text.encode("utf-8", "replace")
-        raw = raw.lower() if text.isascii() else raw
+        low = raw.lower()
+        if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low.decode()):
+            raw = low
         chunks = TAIL.sub(rb"\1 \2", raw).split()
         found = list(map(self.memo.get, chunks))
         if None in found:
