@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,13 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         path = f"{self.home}/{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")  # the written table stands in for the shuffles that made it
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -79,3 +85,13 @@ def map_rows(df: DataFrame, text: str, made: list[tuple[str, T.DataType]], rows:
 
     out = inner.mapInArrow(run, schema)
     return out.toDF(*carry, *[name for name, _ in made])
+
+
+def global_order(scratch: Scratch, df: DataFrame, by: list[str]) -> DataFrame:
+    """df, written, with ord: the rank from 0 of each row in the order of ``by`` (nulls last), by range partitions and their sizes."""
+    keys = [k for c in by for k in (F.col(c).isNull(), F.col(c))]
+    spread = scratch.keep(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    sizes = spread.groupBy(part.alias("__p")).agg(F.count("*").alias("n")).withColumn("__before", F.sum("n").over(Window.orderBy("__p")) - F.col("n")).drop("n")
+    placed = spread.withColumn("__p", part).join(F.broadcast(sizes), "__p")  # one row a partition
+    return scratch.keep(placed.select(*df.columns, (F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).alias("ord")))

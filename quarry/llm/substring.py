@@ -3,11 +3,13 @@
 Every window of ``k`` words is an edge of a de Bruijn graph over token k-mers. A window that occurs once can be left out, and most
 are, before anything is shuffled by window: each window stands under the least of its short word grams, equal windows under equal
 ones, so only windows whose least gram occurs at two places or more (a table of about one gram in seven words) become edges.
-Edges are grouped: first place, and whether all occurrences have the same edge before and after. Repeated non-branching paths
-are compacted by joins: an edge continues the path of the edge before its first place if neither branches there. Only the first
-edge of each path is joined back to its occurrences; every occurrence but the first is a repeated span, the whole path long.
-Spans are then verified against the text at their source coordinates.
+Edges are grouped into first place and number of places. Repeated non-branching paths are compacted: an edge goes on with the path
+of the edge one place before its first place if both occur equally often. Only the first edge of each path is joined back to its
+occurrences; every occurrence but the first is a repeated span, the whole path long. Spans are then verified against the text at
+their source coordinates. As counts are equal along a path, a verified path holds all occurrences of its edges. Should a path
+fail (counts were equal by chance, or hashes collided), its edges are taken one by one and verified again.
 
+Window hashes have 64 bits. A collision can only leave a repeated window in place; what is removed has been verified.
 Places are one number: rank of the document in the order of (doc_id, text hash), nulls last, times 2^24, plus the word position.
 """
 
@@ -22,53 +24,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import Scratch, map_rows
+from quarry.llm.shared import Scratch, global_order, map_rows
 
 #: Words a text may have at most, as places are numbered.
 PLACES = 1 << 24
 GRAM = 8
-MEMO = 400_000
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-
-
-@lru_cache(maxsize=1)
-def _memo() -> dict[bytes, int]:
-    return {}
+BASE = 0x9E3779B97F4A7C15
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def _codes(words: list[bytes]) -> np.ndarray:
-    memo = _memo()
-    found = list(map(memo.get, words))
-    if None in found:
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = xxhash.xxh3_64_intdigest(w)
-        found = list(map(memo.__getitem__, words))
-    return np.array(found, np.uint64)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _grams(codes: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
+@lru_cache(maxsize=8)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, modulo 2^64."""
+    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+    up[:1] = down[:1] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _runs(x: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Mixed polynomial hashes of x[start:stop]."""
+    up, down = _powers(1 << max(16, len(x).bit_length()))
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * up[: len(x)], out=sums[1:])
+    return _mix((sums[stops] - sums[starts]) * down[starts])
+
+
+def _codes(text: str) -> np.ndarray:
+    """A hash of each word."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    turn = np.diff(WHITE[raw], prepend=True, append=True)
+    bounds = np.flatnonzero(turn)
+    return _runs(raw.astype(np.uint64) + np.uint64(1), bounds[::2], bounds[1::2])
+
+
+def _grams(codes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words."""
-    n = len(codes) - width + 1
-    if n <= 0:
-        return codes[:0]
-    out = np.zeros(n, np.uint64)
-    for j in range(width):
-        out *= base
-        out += codes[j : j + n]
-    return _mix(out)
+    at = np.arange(max(0, len(codes) - width + 1))
+    return _runs(codes, at, at + width)
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -83,33 +86,29 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 def _least(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(short grams, least short gram of each window)."""
-    grams = _grams(codes, min(GRAM, k), BASES[0])
+    grams = _grams(codes, min(GRAM, k))
     return grams, _slide(grams, k - min(GRAM, k) + 1, np.minimum)
 
 
-def anchors(text: str | None, k: int) -> tuple[int, np.ndarray]:
-    """(number of words, grams that are the least of some window, once for each place)."""
-    words = _words(text)
-    if len(words) < k:
-        return len(words), np.zeros(0, np.int64)
-    if len(words) >= PLACES:
-        raise ValueError(f"a text has {len(words)} words; places are numbered up to {PLACES}")
-    grams, least = _least(_codes(words), k)
+def anchors(text: str | None, k: int) -> np.ndarray:
+    """Grams that are the least of some window, once for each place."""
+    codes = _codes(text) if text else np.zeros(0, np.uint64)
+    if len(codes) < k:
+        return np.zeros(0, np.int64)
+    if len(codes) >= PLACES:
+        raise ValueError(f"a text has {len(codes)} words; places are numbered up to {PLACES}")
+    grams, least = _least(codes, k)
     width = k - min(GRAM, k) + 1
     around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    return len(words), grams[_slide(around, width, np.maximum) == grams].view(np.int64)
+    return grams[_slide(around, width, np.maximum) == grams].view(np.int64)
 
 
-def edges(text: str, k: int, repeated: list[int]) -> tuple[np.ndarray, ...]:
-    """(place, hash, second hash, edge before, edge after) of the windows whose least gram is among ``repeated``."""
-    codes = _codes(_words(text))
+def edges(text: str, k: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the windows whose least gram is among ``repeated``."""
+    codes = _codes(text)
     _, least = _least(codes, k)
-    at = np.flatnonzero(np.isin(least, np.array(repeated, np.int64).view(np.uint64)))
-    h = _grams(codes, k, BASES[0])
-    second = (_grams(codes, k, BASES[1])[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    link = (h >> np.uint64(33)).astype(np.int32)
-    link = np.concatenate([[-1], link, [-1]]).astype(np.int32)
-    return at, h.view(np.int64)[at], second, link[at], link[at + 2]
+    at = np.flatnonzero(np.isin(least.view(np.int64), repeated))
+    return at, _grams(codes, k).view(np.int64)[at]
 
 
 def removed_mask(n_words: int, spans: list[tuple[int, int]], k: int) -> np.ndarray:
@@ -121,14 +120,8 @@ def removed_mask(n_words: int, spans: list[tuple[int, int]], k: int) -> np.ndarr
 
 
 def _ranked(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """(__id, __dh, ord): dense ranks of the distinct documents, by range partitions and their sizes."""
-    spread = scratch.keep(
-        docs.select("__id", "__dh").distinct().withColumn("__none", F.col("__id").isNull())
-        .repartitionByRange("__none", "__id", "__dh").sortWithinPartitions("__none", "__id", "__dh").select("__id", "__dh", F.monotonically_increasing_id().alias("m"))
-    )
-    part = F.shiftright("m", 33)
-    sizes = spread.groupBy(part.alias("p")).agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("p")) - F.col("n"))
-    return scratch.keep(spread.withColumn("p", part).join(F.broadcast(sizes), "p").select("__id", "__dh", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("ord")))
+    """(__id, __dh, ord) of the distinct documents."""
+    return global_order(scratch, docs.select("__id", "__dh").distinct(), ["__id", "__dh"])
 
 
 def _same(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
@@ -136,47 +129,57 @@ def _same(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(b, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__dh") == F.col("__dh2")), how).drop("__id2", "__dh2")
 
 
-def repeated_spans(scratch: Scratch, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """From columns __id, __dh, __text: (spans: at, windows, source; documents: __id, __dh, ord)."""
-    ids = docs.select("__id", "__dh")
-    marked = scratch.keep(map_rows(docs, "__text", [("anchors", T.ArrayType(T.LongType()))], lambda ts: [[anchors(t, k)[1] for t in ts]], ["__id", "__dh"]).where(F.size("anchors") > 0))
+def repeated_spans(scratch: Scratch, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From columns __id, __dh, __text: (spans: at, windows, source; edges: at, h; documents: __id, __dh, ord)."""
+    import pyarrow as pa
+
+    def mark(texts: list) -> list:
+        found = [anchors(t, k) for t in texts]
+        stops = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))]
+
+    marked = scratch.keep(map_rows(docs, "__text", [("anchors", T.ArrayType(T.LongType()))], mark, ["__id", "__dh"]).where(F.size("anchors") > 0))
     often = marked.select(F.explode("anchors").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    shared = marked.select("__id", "__dh", F.explode(F.array_distinct("anchors")).alias("g")).join(often, "g")
-    listed = scratch.keep(shared.groupBy("__id", "__dh").agg(F.collect_set("g").alias("grams")))
+    shared = marked.select("__id", "__dh", F.explode(F.array_distinct("anchors")).alias("g")).join(often.hint("shuffle_hash"), "g")
+    listed = scratch.keep(shared.groupBy("__id", "__dh").agg(F.collect_list("g").alias("grams")))
+    order = _ranked(scratch, marked.select("__id", "__dh"))
     scratch.drop(marked)
-    order = _ranked(scratch, ids)
     per_doc = _same(listed, order, "inner")
 
-    import pyarrow as pa
-
     def rows(batches):
         for batch in batches:
-            texts, grams, ords = (batch.column(i).to_pylist() for i in range(3))
-            parts = [[] for _ in range(5)]
-            for text, g, o in zip(texts, grams, ords, strict=True):
-                at, *rest = edges(text, k, g)
-                for column, x in zip(parts, (at + o * PLACES, *rest), strict=True):
-                    column.append(x)
-                if sum(map(len, parts[0])) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["at", "h", "c", "before", "after"])
-                    parts = [[] for _ in range(5)]
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["at", "h", "c", "before", "after"])
-
-    found = scratch.keep(_same(docs, per_doc, "inner").select("__text", "grams", "ord").mapInArrow(rows, "at long, h long, c int, before int, after int"))
+            texts, ords, grams = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False), batch.column(1)
+            values, stops = grams.values.to_numpy(zero_copy_only=False), grams.offsets.to_numpy()
+            parts, size = ([], []), 0
+            for i in range(len(texts)):
+                at, h = edges(texts[i].as_py(), k, values[stops[i] : stops[i + 1]])
+                parts[0].append(at + ords[i] * PLACES)
+                parts[1].append(h)
+                size += len(at)
+                if size > 200_000 or i == len(texts) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["at", "h"])
+                    parts, size = ([], []), 0
+
+    found = scratch.keep(_same(docs, per_doc, "inner").select("__text", "grams", "ord").mapInArrow(rows, "at long, h long"))
     scratch.drop(listed)
 
-    grouped = found.groupBy("h", "c").agg(F.min("at").alias("source"), F.max("at").alias("last"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")).where("last > source")
+    grouped = _grouped(found)
     here = Window.partitionBy(F.shiftright("source", 24)).orderBy("source")
-    joins = grouped.select("h", "c", "source", ((F.col("b0") == F.col("b1")) & (F.col("b0") >= 0)).alias("one_before"), ((F.col("a0") == F.col("a1")) & (F.col("a0") >= 0)).alias("one_after"))
-    follows = F.col("one_before") & (F.lag("source").over(here) == F.col("source") - 1) & F.lag("one_after").over(here)
-    headed = joins.withColumn("head", ~F.coalesce(follows, F.lit(False)))
-    starts = headed.withColumn("path", F.max(F.when(F.col("head"), F.col("source"))).over(here))
-    length = Window.partitionBy(F.shiftright("source", 24), "path")
-    paths = scratch.keep(starts.withColumn("windows", F.count("*").over(length)).where("head").select("h", "c", "source", F.col("windows").cast("int").alias("windows")))
-    spans = scratch.keep(found.select("at", "h", "c").join(paths, ["h", "c"]).where("at > source").select("at", "windows", "source").distinct())
-    scratch.drop(found, paths)
-    return spans, order
+    goes_on = lambda step, move: F.coalesce((move("source").over(here) == F.col("source") + step) & (move("n").over(here) == F.col("n")), F.lit(False))
+    ends = grouped.withColumn("head", ~goes_on(-1, F.lag)).withColumn("tail", ~goes_on(1, F.lead)).where("head or tail")
+    windows = F.when(F.col("tail"), 1).otherwise(F.lead("source").over(here) - F.col("source") + 1).cast("int")
+    paths = scratch.keep(ends.withColumn("windows", windows).where("head").select("h", "source", "windows"))
+    spans = scratch.keep(_occurrences(found, paths))
+    scratch.drop(paths)
+    return spans, found, order
+
+
+def _grouped(found: DataFrame) -> DataFrame:
+    return found.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("source")).where("n > 1")
+
+
+def _occurrences(found: DataFrame, paths: DataFrame) -> DataFrame:
+    return found.join(paths.hint("shuffle_hash"), "h").where("at > source").select("at", "windows", "source").distinct()
 
 
 def _digest(words: list[bytes], at: int, n: int) -> bytes:
@@ -194,13 +197,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "substring")
     carry = [doc_id] if carry is None else carry
     plain = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carry)], F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"), F.xxhash64(F.col(f"`{text}`")).alias("__dh"))
-    spans, order = repeated_spans(scratch, plain.select("__id", "__dh", "__text"), k)
+    spans, found, order = repeated_spans(scratch, plain.select("__id", "__dh", "__text"), k)
     kept = [f"k{i}" for i in range(len(carry))]
 
     def finish(spans: DataFrame) -> DataFrame:
         by_doc = spans.groupBy(F.shiftright("at", 24).alias("ord")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit(PLACES - 1)).cast("int").alias("at"), "windows", "source")).alias("spans"))
         sources = spans.select("source", "windows").distinct().groupBy(F.shiftright("source", 24).alias("ord")).agg(F.collect_list(F.struct("source", "windows")).alias("sources"))
-        asked = _same(by_doc.join(sources, "ord", "full").join(order, "ord").drop("ord"), order.select("__id", "__dh"), "inner")
+        asked = by_doc.join(sources, "ord", "full").join(order, "ord").drop("ord")
         joined = _same(plain, asked, "left").select(*kept, "spans", "sources", "__text")
         check = "array<struct<source: bigint, windows: int, digest: binary>>"
         made = "n_words long, n_removed long, kept_sha256 string, kept_text string, own " + check + ", used " + check
@@ -230,11 +233,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         return scratch.keep(joined.mapInArrow(rows, schema))
 
+    def false_of(done: DataFrame) -> DataFrame:
+        own = done.select(F.explode("own").alias("s")).select("s.source", "s.windows", F.col("s.digest").alias("original")).distinct()
+        used = done.select(F.explode("used").alias("s")).select("s.source", "s.windows", "s.digest").distinct()
+        return scratch.keep(used.join(own, ["source", "windows"]).where("digest <> original").select("source", "windows").distinct())
+
     done = finish(spans)
-    own = done.select(F.explode("own").alias("s")).select("s.source", "s.windows", F.col("s.digest").alias("original")).distinct()
-    used = done.select(F.explode("used").alias("s")).select("s.source", "s.windows", "s.digest").distinct()
-    false = scratch.keep(used.join(own, ["source", "windows"]).where("digest <> original").select("source", "windows").distinct())
-    if not false.isEmpty():  # two different windows share all 95 bits: such paths are not removed
-        done = finish(scratch.keep(spans.join(false, ["source", "windows"], "left_anti")))
+    false = false_of(done)
+    if not false.isEmpty():
+        one_by_one = false.select(F.explode(F.sequence("source", F.col("source") + F.col("windows") - 1)).alias("source")).distinct()
+        single = _grouped(found).join(one_by_one, "source").select("h", "source", F.lit(1).alias("windows"))
+        spans = scratch.keep(spans.join(false, ["source", "windows"], "left_anti").union(_occurrences(found, single)))
+        done = finish(spans)
+        false = false_of(done)
+        if not false.isEmpty():
+            done = finish(scratch.keep(spans.join(false, ["source", "windows"], "left_anti")))
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(carry)], *names)
