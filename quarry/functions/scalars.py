@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEVERITIES = ["critical", "high", "medium", "low", "info"]
-CONFIDENCES = ["high", "medium", "low"]
+# Ordered vocabularies, gravest or lowest first.
+SEVERITIES = ["Critical", "High", "Medium", "Low"]
+CONFIDENCES = ["low", "medium", "high"]
 
 
 def rank_of(value: Column, order: list[str]) -> Column:
@@ -16,8 +17,8 @@ def rank_of(value: Column, order: list[str]) -> Column:
 
 
 def finding_id(tool: Column, category: Column, file: Column, line: Column, message: Column) -> Column:
-    """16 hex digits of a finding's content; a missing line counts as the word None, as it does in the reference ids."""
-    return F.substring(F.sha2(F.concat_ws(":", tool, category, file, F.coalesce(line.cast("string"), F.lit("None")), message), 256), 1, 16)
+    """16 hex digits of a finding's content; a missing line counts as the word None."""
+    return F.substring(F.sha2(F.concat_ws("|", tool, category, file, F.coalesce(line.cast("string"), F.lit("None")), message), 256), 1, 16)
 
 
 def cache_key(*parts: Column) -> Column:
@@ -30,8 +31,15 @@ def title_terms(title: Column, least: int = 3) -> Column:
     return F.array_sort(F.array_distinct(F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))))
 
 
-# Words that say nothing about a defect.
-STOP_WORDS = ["the", "and", "for", "with", "without", "from", "into", "not", "are", "is", "that", "this", "has", "have", "can", "may", "via", "any", "all", "its"]
+# Title words that say nothing about a defect, and terms that name one.
+STOP_WORDS = """with from into that this missing lack lacks using used without the and for via not all any are absence absent leads lead
+    allows allowed can issue issues potential possible multiple across due its has have been
+    api endpoint endpoints route routes application app code service services file files data insecure unsafe vulnerability vulnerable""".split()
+ANCHOR_TERMS = """cors csrf xss jwt ssrf xxe idor csp hsts otp sqli injection traversal deserialization clickjacking openapi swagger
+    mktemp pickle yaml iframe sandbox""".split()
+# What a function's name may add to its core.
+NAME_MODIFIERS = """async sync all new old legacy v1 v2 v3 impl internal helper fitz pymupdf pdfplumber pypdf fast simple uploaded upload
+    external tmp temp wrapper base default the a func fn local orig original alt 2 3""".split()
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -41,9 +49,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def path_pattern(path: Column, prefix: bool = False) -> Column:
-    """Regular expression of a route path: ``{x}`` stands for one segment; a trailing slash is optional. Other characters are literal."""
-    literal = F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"([\\.^$|?*+()\[\]])", r"\\$1")
-    body = F.regexp_replace(literal, r"\{[^}]*\}", "[^/]+")
+    """Regular expression of a route path: a segment ``{x}`` or ``{}`` stands for any one segment; a trailing slash is optional, or
+    with ``prefix`` anything below. Other characters are literal."""
+
+    def segment(x: Column) -> Column:
+        return F.when(x.rlike(r"^\{[^}]*\}$"), F.lit("[^/]+")).otherwise(F.regexp_replace(x, r"([\\.^$|?*+()\[\]{}])", r"\\$1"))
+
+    body = F.array_join(F.transform(F.split(F.regexp_replace(path, r"/+$", ""), "/"), segment), "/")
     return F.concat(F.lit("^"), body, F.lit("(?:/.*)?$" if prefix else "/?$"))
 
 
@@ -116,8 +128,17 @@ def glob_pattern(glob: str) -> str:
     return f"^{out.replace('[!', '[^')}$"
 
 
-SECRET_WORD = r"(?i)(secret|token|passw|pwd|api_?key|private_?key|credential|auth_?key)"
-NOT_SECRET = r"(?i)(_ttl|_url|_uri|_name|_id|_expir\w*|_lifetime|_minutes|_seconds|_days|_algorithm|_header|_length|_limit)$"
+# Patterns and values that decide the flags of environment entries and routes.
+SECRET_WORD = r"(?i)(secret|password|passwd|pwd|token|api[_-]?key|apikey|private[_-]?key|credential|signing)"
+NOT_SECRET = r"(?i)(_(minutes|seconds|hours|days|ttl|expire|expires|expiry|lifetime|url|uri|endpoint|host|algorithm|alg|header|name|path|file|type|length|len|size|count|limit|enabled|id))$"
+CLIENT_PREFIX = r"^(VITE_|NEXT_PUBLIC_|REACT_APP_|EXPO_PUBLIC_|NUXT_PUBLIC_)"
+PLACEHOLDER = r"(?i)^(<.*>|your[-_].*|x{3,}|\*{3,}|example.*|placeholder|todo|tbd|replace[-_]?me|\.\.\.|\$\{.*\})$"
+LOCAL_URL = r"(?i)(localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\])"
+PRIVATE_IP = r"\b(10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+)\b"
+DEV_HOST = r"(?i)https?://[^/\s]*(dev|staging|stage|test|qa|sandbox)[^/\s]*"
+WEAK_VALUES = "secret password changeme change-me admin test default 1234 12345 123456 qwerty letmein key token dev devsecret".split()
+AUTH_ENTRY = r"(?i)(^|[/_-])(login|logout|signin|sign-in|signup|sign-up|register|otp|password|passwd|token|refresh|forgot|reset|oauth|callback|verify)([/_-]|$)"
+LISTING = r"(?i)(^|_)(list|search|all|index|directory|history)(_|$)|s$"
 
 
 def secret_name(key: Column) -> Column:
@@ -126,28 +147,36 @@ def secret_name(key: Column) -> Column:
 
 def env_flags(key: Column, value: Column) -> Column:
     """Flags of an environment entry, in a fixed order. Empty and placeholder values bear no further flags but exposure."""
-    v = F.trim(F.coalesce(value, F.lit("")))
-    empty = v == ""
-    placeholder = v.rlike(r"(?i)^(<.*>|\$\{.*\}|your[-_ ].*|change[-_ ]?me.*|x{3,}|todo|placeholder|example|dummy|\.\.\.)$")
+    v = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), "^['\"]+|['\"]+$", "")
+    empty, placeholder, secret = v == "", v.rlike(PLACEHOLDER), secret_name(key)
     live = ~empty & ~placeholder
-    host = v.rlike(r"(?i)(localhost|127\.0\.0\.1|0\.0\.0\.0)")
-    private = v.rlike(r"(?:^|[^0-9.])(10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+)")
-    dev = v.rlike(r"(?i)\b(dev|staging|test)\b[.-]\w+\.\w+")
-    secret = secret_name(key)
-    weak = v.rlike(r"(?i)^(admin|password|secret|changeit|123456.*|letmein|root|test|default)$")
-    flags = [("exposed to browser", secret & key.rlike(r"^(VITE_|NEXT_PUBLIC_|REACT_APP_|PUBLIC_)")), ("empty", empty), ("placeholder", ~empty & placeholder), ("localhost", live & host), ("private IP", live & private), ("dev host", live & dev), ("weak", live & secret & weak), ("short", live & secret & ~weak & (F.length(v) < 16))]
+    weak = F.lower(v).isin(WEAK_VALUES)
+    flags = [
+        ("secret-named key exposed to the browser bundle", secret & key.rlike(CLIENT_PREFIX)), ("empty", empty), ("placeholder", ~empty & placeholder),
+        ("points at localhost/loopback", live & v.rlike(LOCAL_URL)), ("contains a private IP address", live & v.rlike(PRIVATE_IP)), ("points at a dev/staging/test host", live & v.rlike(DEV_HOST)),
+        ("weak/well-known secret value", live & secret & weak), ("short secret (< 16 chars)", live & secret & ~weak & (F.length(v) < 16)),
+    ]
     return F.array_compact(F.array(*[F.when(yes, F.lit(name)) for name, yes in flags]))
 
 
 def route_auth(dependencies: Column, user_token: Column, shared_key: Column) -> Column:
-    return F.when(user_token, "user token").when(shared_key, "shared API key").when(F.size(dependencies) == 0, "NONE").otherwise("dependencies without verification")
+    return F.when(user_token, "user token").when(shared_key, "shared API key only").when(F.size(dependencies) == 0, "NONE").otherwise("deps without user verification")
 
 
-def route_flags(path: Column, dependencies: Column, identity: Column, user_token: Column, upload: Column) -> Column:
-    entry = path.rlike(r"(?i)/(login|signin|sign-in|token|register|signup|oauth|callback|refresh|logout|password)(/|$)")
-    return F.array_compact(F.array(F.when(entry, "AUTH ENTRY POINT").when((F.size(identity) > 0) & ~user_token, "CLIENT-ASSERTED IDENTITY"), F.when(upload, "FILE UPLOAD"), F.when((F.size(dependencies) == 0) & ~entry, "NO AUTH DEPENDENCY")))
+def route_flags(path: Column, handler: Column, dependencies: Column, identity: Column, user_token: Column, upload: Column) -> Column:
+    entry = path.rlike(AUTH_ENTRY) | handler.rlike(AUTH_ENTRY)
+    who = F.when(entry, "AUTH ENTRY POINT").when((F.size(identity) > 0) & ~user_token, "CLIENT-ASSERTED IDENTITY")
+    return F.array_compact(F.array(who, F.when(upload, F.lit("FILE UPLOAD")), F.when(F.size(dependencies) == 0, F.lit("NO AUTH DEPENDENCY"))))
 
 
-def unpaginated_listing(method: Column, path: Column, paginated: Column) -> Column:
+def unpaginated_listing(method: Column, path: Column, handler: Column, paginated: Column) -> Column:
     last = F.element_at(F.split(F.regexp_replace(path, r"/+$", ""), "/"), -1)
-    return (method == "GET") & ~paginated & ~last.rlike(r"^\{") & last.rlike(r"(?i)(s|list|all|history|search)$")
+    return (method == "GET") & ~paginated & (last != "") & ~F.startswith(last, F.lit("{")) & (handler.rlike(LISTING) | last.rlike(LISTING))
+
+
+def test_path(path: Column) -> Column:
+    """Test code by folder or name, for Python and scripts."""
+    name = F.element_at(F.split(path, "/"), -1)
+    folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    in_tests = F.arrays_overlap(folders, F.array(*map(F.lit, ["tests", "test", "testing", "__tests__", "e2e"])))
+    return in_tests | name.rlike(r"^test_|_tests?\.py$|^(conftest|tests?)\.py$|\.(test|spec)\.[jt]sx?$")

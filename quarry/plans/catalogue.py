@@ -68,7 +68,7 @@ def _secret_findings(spark: SparkSession, d: str) -> DataFrame:
 
 _SECRET_SQL = f"""WITH l AS ({_duck_lines("source || '/' || doc_id AS file")}), h AS (
     {' UNION ALL '.join(f"SELECT file, CAST(line_no AS INTEGER) AS line, {quoted(sev)} AS severity, {quoted(rule)} AS category, substring(line, 1, 200) AS message FROM l WHERE regexp_matches(line, {quoted(p)})" for rule, sev, p in SECRET_RULES)})
-    SELECT 'scan' AS tool, *, substring(sha256('scan:' || category || ':' || file || ':' || line || ':' || message), 1, 16) AS id FROM h"""
+    SELECT 'scan' AS tool, *, substring(sha256('scan|' || category || '|' || file || '|' || line || '|' || message), 1, 16) AS id FROM h"""
 
 
 @query(_SECRET_SQL)
@@ -89,7 +89,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH l AS ({_duck_lines("doc_id, source")}), f AS (SELECT source AS file, CAST(line_no AS INTEGER) AS line, line AS message, doc_id FROM l UNION ALL SELECT source, NULL, text, doc_id FROM documents),
-    i AS (SELECT *, substring(sha256('scan:text:' || file || ':' || coalesce(CAST(line AS VARCHAR), 'None') || ':' || message), 1, 16) AS id FROM f)
+    i AS (SELECT *, substring(sha256('scan|text|' || file || '|' || coalesce(CAST(line AS VARCHAR), 'None') || '|' || message), 1, 16) AS id FROM f)
     SELECT id, file, line, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id, line) AS r FROM i) WHERE r = 1""")
 def finding_ids(spark: SparkSession, d: str) -> DataFrame:
     """Content ids with and without a line; the first occurrence of each stays."""
@@ -267,11 +267,11 @@ def title_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _severity(column: str = "o_orderpriority") -> Column:
-    return F.element_at(F.array(*map(F.lit, S.SEVERITIES)), F.substring(column, 1, 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, S.SEVERITIES)), F.least(F.substring(column, 1, 1).cast("int"), F.lit(4)))
 
 
-@query("""WITH s AS (SELECT o_orderkey, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) - 1 AS r, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 1 ELSE 0 END AS c FROM orders)
-    SELECT o_orderkey, (['critical','high','medium','low','info'])[r + 1] AS severity, (['critical','high','medium','low','info'])[greatest(r, c) + 1] AS capped, c > r AS lowered FROM s""")
+@query("""WITH s AS (SELECT o_orderkey, least(CAST(substring(o_orderpriority, 1, 1) AS INTEGER), 4) - 1 AS r, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 1 ELSE 0 END AS c FROM orders)
+    SELECT o_orderkey, (['Critical','High','Medium','Low','Low'])[r + 1] AS severity, (['Critical','High','Medium','Low','Low'])[greatest(r, c) + 1] AS capped, c > r AS lowered FROM s""")
 def severity_caps(spark: SparkSession, d: str) -> DataFrame:
     """Severities lowered to the ceiling of their exposure."""
     from quarry.operators.collector import cap_severity
