@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,29 +36,49 @@ def sensitive(path: Column) -> Column:
     return path.rlike(r"(^|/)\.env(\.[^/]*)?$") & ~path.rlike(r"(^|/)\.env\.example$")
 
 
-def pruned(path: Column) -> Column:
-    """Below a folder that is not entered."""
-    folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    return F.arrays_overlap(folders, F.array(*map(F.lit, IGNORED))) | F.exists(folders, lambda x: F.endswith(x, F.lit(".egg-info")))
-
-
-def scan_tree(spark: SparkSession, root: str, max_bytes: int = 2_000_000) -> DataFrame:
-    """(path, language, size_bytes, lines, skipped_due_to_size, text) of the files below a folder of any Hadoop file system.
-
-    Paths are relative to it. Ignored folders and sensitive files are filtered by path before contents are read (the file source reads
-    content lazily, only for rows that stay). Text is null for oversize files; undecodable bytes become replacement characters.
+def list_tree(root: str, timeout: float = 30.0) -> tuple[list[tuple[str, int]], list[tuple[str, str]], bool]:
+    """((path, bytes) of files, (folder, error) of unreadable folders, whether time ran out): ignored folders are not entered, so a walk of
+    a checkout costs what its own files cost. Spark's file source is no help here: it hides names that begin with _ or a dot."""
+    files: list[tuple[str, int]] = []
+    errors: list[tuple[str, str]] = []
+    until = time.monotonic() + timeout
+    note = lambda e: errors.append((os.path.relpath(e.filename or root, root), str(e.strerror or e)))
+    for folder, subfolders, names in os.walk(root, onerror=note):
+        if time.monotonic() > until:
+            return files, errors, True
+        subfolders[:] = sorted(d for d in subfolders if d not in IGNORED and not d.endswith(".egg-info"))
+        for name in sorted(names):
+            full = os.path.join(folder, name)
+            try:
+                files.append((os.path.relpath(full, root), os.stat(full).st_size))
+            except OSError as e:
+                note(e)
+    return files, errors, False
+
+
+def scan_tree(spark: SparkSession, root: str, max_bytes: int = 2_000_000, timeout: float = 30.0, partitions: int = 32) -> DataFrame:
+    """(path, language, size_bytes, lines, skipped_due_to_size, text) of the files below a folder that driver and executors share.
+
+    Sensitive environment files are left out before anything is opened. Text is null for oversize and unreadable files; a BOM is dropped,
+    undecodable bytes become replacement characters.
     """
-    base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + _literal("/" + base.split(":", 1)[-1].lstrip("/")) + "/", "")
-    kept = found.withColumn("rel", path).where(~pruned(F.col("rel")) & ~sensitive(F.col("rel")))
-    large = F.col("length") > max_bytes
-    text = F.regexp_replace(F.when(~large, F.decode("content", "UTF-8")), "^\\uFEFF", "")
-    return kept.select(F.col("rel").alias("path"), language(F.col("rel")).alias("language"), F.col("length").alias("size_bytes"), line_count(text).alias("lines"), large.alias("skipped_due_to_size"), text.alias("text"))
+    listed, _, _ = list_tree(root, timeout)
+    paths = spark.createDataFrame(listed, "path string, size_bytes long").where(~sensitive(F.col("path"))).repartition(min(partitions, max(1, len(listed))))
 
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    texts.append(open(os.path.join(root, path), "rb").read().decode("utf-8-sig", "replace") if size <= max_bytes else None)
+                except OSError:
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["path", "size_bytes", "text"])
 
-def _literal(text: str) -> str:
-    return "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in text)
+    found = paths.mapInArrow(read, "path string, size_bytes long, text string")
+    return found.select("path", language(F.col("path")).alias("language"), "size_bytes", line_count(F.col("text")).alias("lines"), (F.col("size_bytes") > max_bytes).alias("skipped_due_to_size"), "text")
 
 
 def surface(files: DataFrame) -> DataFrame:
