@@ -3,8 +3,8 @@
 Every window of ``k`` words is an edge of a de Bruijn graph over token k-mers. A window that occurs once can be left out, and most
 are, before anything is shuffled by window: each window stands under the least of its short word grams, equal windows under equal
 ones, so only windows whose least gram occurs at two places or more (a table of about one gram in seven words) become edges.
-Edges are grouped into first place and number of places. Repeated non-branching paths are compacted: an edge goes on with the path
-of the edge one place before its first place if both occur equally often. Only the first edge of each path is joined back to its
+Edges are grouped into first and last place and number of places. Repeated non-branching paths are compacted: an edge goes on with the path
+of the edge one place before its first place if both occur equally often and last one place apart, too. Only the first edge of each path is joined back to its
 occurrences; every occurrence but the first is a repeated span, the whole path long. Spans are then verified against the text at
 their source coordinates. As counts are equal along a path, a verified path holds all occurrences of its edges. Should a path
 fail (counts were equal by chance, or hashes collided), its edges are taken one by one and verified again.
@@ -112,10 +112,11 @@ def edges(text: str, k: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def removed_mask(n_words: int, spans: list[tuple[int, int]], k: int) -> np.ndarray:
+    """Which words the spans (first word, windows) cover. A span that is not true, to be found out by its digest, may reach too far."""
     turn = np.zeros(n_words + 1, np.int64)
     for at, windows in spans:
         turn[at] += 1
-        turn[at + windows + k - 1] -= 1
+        turn[min(n_words, at + windows + k - 1)] -= 1
     return np.cumsum(turn[:-1]) > 0
 
 
@@ -165,7 +166,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, k: int) -> tuple[DataFrame
 
     grouped = _grouped(found)
     here = Window.partitionBy(F.shiftright("source", 24)).orderBy("source")
-    goes_on = lambda step, move: F.coalesce((move("source").over(here) == F.col("source") + step) & (move("n").over(here) == F.col("n")), F.lit(False))
+    goes_on = lambda step, move: F.coalesce((move("source").over(here) == F.col("source") + step) & (move("n").over(here) == F.col("n")) & (move("last").over(here) == F.col("last") + step), F.lit(False))
     ends = grouped.withColumn("head", ~goes_on(-1, F.lag)).withColumn("tail", ~goes_on(1, F.lead)).where("head or tail")
     windows = F.when(F.col("tail"), 1).otherwise(F.lead("source").over(here) - F.col("source") + 1).cast("int")
     paths = scratch.keep(ends.withColumn("windows", windows).where("head").select("h", "source", "windows"))
@@ -175,7 +176,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, k: int) -> tuple[DataFrame
 
 
 def _grouped(found: DataFrame) -> DataFrame:
-    return found.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("source")).where("n > 1")
+    return found.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("source"), F.max("at").alias("last")).where("n > 1")
 
 
 def _occurrences(found: DataFrame, paths: DataFrame) -> DataFrame:
@@ -186,6 +187,24 @@ def _digest(words: list[bytes], at: int, n: int) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words[at : at + n]))
 
 
+def _single_digests(scratch: Scratch, plain: DataFrame, order: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+    """(source, windows, original): digests of spans at their source coordinates."""
+    asked = sources.groupBy(F.shiftright("source", 24).alias("ord")).agg(F.collect_list(F.struct("source", "windows")).alias("asked")).join(order, "ord").drop("ord")
+    texts = _same(plain.select("__id", "__dh", "__text"), asked, "inner").select("asked", "__text")
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for asked, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = _words(t)
+                out += [(x["source"], x["windows"], _digest(words, x["source"] % PLACES, x["windows"] + k - 1)) for x in asked]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["source", "windows", "original"])
+
+    return scratch.keep(texts.mapInArrow(rows, "source long, windows int, original binary").distinct())
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 20, carry: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """The columns of ``carry`` (doc_id, if None) and n_words, n_removed, kept_sha256 and, if asked for, kept_text of every row.
 
@@ -200,18 +219,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans, found, order = repeated_spans(scratch, plain.select("__id", "__dh", "__text"), k)
     kept = [f"k{i}" for i in range(len(carry))]
 
-    def finish(spans: DataFrame) -> DataFrame:
+    def finish(plain: DataFrame, spans: DataFrame) -> DataFrame:
         by_doc = spans.groupBy(F.shiftright("at", 24).alias("ord")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit(PLACES - 1)).cast("int").alias("at"), "windows", "source")).alias("spans"))
         sources = spans.select("source", "windows").distinct().groupBy(F.shiftright("source", 24).alias("ord")).agg(F.collect_list(F.struct("source", "windows")).alias("sources"))
         asked = by_doc.join(sources, "ord", "full").join(order, "ord").drop("ord")
-        joined = _same(plain, asked, "left").select(*kept, "spans", "sources", "__text")
+        joined = _same(plain, asked, "left").select(*kept, "__id", "__dh", "spans", "sources", "__text")
         check = "array<struct<source: bigint, windows: int, digest: binary>>"
         made = "n_words long, n_removed long, kept_sha256 string, kept_text string, own " + check + ", used " + check
-        schema = T.StructType([*joined.select(*kept).schema.fields, *T.StructType.fromDDL(made).fields])
+        schema = T.StructType([*joined.select(*kept, "__id", "__dh").schema.fields, *T.StructType.fromDDL(made).fields])
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = [f.type for f in to_arrow_schema(T.StructType.fromDDL(made))]
-        n = len(kept)
+        n = len(kept) + 2
 
         def rows(batches):
             import pyarrow as pa
@@ -238,15 +257,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         used = done.select(F.explode("used").alias("s")).select("s.source", "s.windows", "s.digest").distinct()
         return scratch.keep(used.join(own, ["source", "windows"]).where("digest <> original").select("source", "windows").distinct())
 
-    done = finish(spans)
+    done = finish(plain, spans)
     false = false_of(done)
-    if not false.isEmpty():
+    if not false.isEmpty():  # the documents of those paths again, edge by edge; what collides even so is not removed
         one_by_one = false.select(F.explode(F.sequence("source", F.col("source") + F.col("windows") - 1)).alias("source")).distinct()
         single = _grouped(found).join(one_by_one, "source").select("h", "source", F.lit(1).alias("windows"))
-        spans = scratch.keep(spans.join(false, ["source", "windows"], "left_anti").union(_occurrences(found, single)))
-        done = finish(spans)
-        false = false_of(done)
-        if not false.isEmpty():
-            done = finish(scratch.keep(spans.join(false, ["source", "windows"], "left_anti")))
+        singles = scratch.keep(_occurrences(found, single))
+        wrong = spans.join(false, ["source", "windows"], "left_semi")
+        ords = scratch.keep(wrong.select("at").union(singles.select("at")).select(F.shiftright("at", 24).alias("ord")).distinct())
+        touched = scratch.keep(order.join(ords, "ord").select("__id", "__dh"))
+        mine = spans.join(false, ["source", "windows"], "left_anti").unionByName(singles).withColumn("ord", F.shiftright("at", 24)).join(ords, "ord", "left_semi").drop("ord")
+        sources = singles.select("source", "windows").distinct()
+        again = finish(_same(plain, touched, "left_semi"), mine)
+        checked = _single_digests(scratch, plain, order, sources, k)
+        used = again.select(F.explode("used").alias("s")).select("s.source", "s.windows", "s.digest").join(checked, ["source", "windows"])
+        collided = scratch.keep(used.where("digest <> original").select("source", "windows").distinct())
+        if not collided.isEmpty():
+            again = finish(_same(plain, touched, "left_semi"), scratch.keep(mine.join(collided, ["source", "windows"], "left_anti")))
+        done = _same(done, touched, "left_anti").unionByName(again)
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(carry)], *names)
