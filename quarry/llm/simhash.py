@@ -70,9 +70,10 @@ def _forest(fps: list[int], radius: int) -> tuple[list[int], list[int]]:
     a, b = [], []
     for i in range(1, n):
         near = np.flatnonzero(np.bitwise_count(x[:i] ^ x[i]) <= radius)
-        for r in np.unique(root[near]).tolist():
+        groups, first = np.unique(root[near], return_index=True)
+        for r, j in zip(groups.tolist(), near[first].tolist(), strict=True):
             a.append(fps[i])
-            b.append(fps[r])
+            b.append(fps[j])
             root[root == r] = i
     return a, b
 

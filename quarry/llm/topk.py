@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import Scratch
+from quarry.llm.shared import Scratch, global_order
 
 SIGNS = 16
 
@@ -95,11 +95,9 @@ def top_k(table: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=["id", "v", "q", "code"])
 
     coded = plain.mapInArrow(near, "id long, v array<double>, q boolean, code long")
-    placed = scratch.keep(coded.repartitionByRange("code", "id").sortWithinPartitions("code", "id").withColumn("row", F.monotonically_increasing_id()))
-    part = F.shiftright("row", 33)
-    at = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    shards = placed.withColumn("shard", part * (1 << 20) + (at / shard).cast("long"))
-    asked = placed.where("q").withColumn("chunk", part * (1 << 20) + (at / (50 * chunk)).cast("long")).select("chunk", "row", "id", "v")
+    placed = global_order(scratch, coded, ["code", "id"]).withColumnRenamed("ord", "row")
+    shards = placed.withColumn("shard", (F.col("row") / shard).cast("long"))
+    asked = placed.where("q").withColumn("chunk", (F.col("row") / (50 * chunk)).cast("long")).select("chunk", "row", "id", "v")
     cells = scratch.keep(shards.select("shard").distinct().crossJoin(asked.select("chunk").distinct()))  # the stated query set against all rows, in blocks
     if cells.limit(10_001).count() <= 10_000:
         cells = F.broadcast(cells)
