@@ -171,3 +171,72 @@ def test_window_operators(spark):
     assert [(r.position, r.v) for r in windows.capped_list(rows.select("k", F.col("id").cast("string").alias("v")), ["k"], [F.col("v")], 2, "v").where("k = 'a'").orderBy("position").collect()] == [(1, "1"), (2, "2"), (3, "… 1 more")]
     ranked = collector.part_numbers(rows, ["k"], ["s", "id"], F.floor(F.col("id") / 2))
     assert {(r.k, r.id, r.number) for r in ranked.collect()} == {("a", 3, 1), ("a", 1, 2), ("a", 2, 3), ("b", 1, 1)}
+
+
+def test_routes_and_hotspots(spark):
+    from quarry.operators import routes
+
+    main = "app = FastAPI(dependencies=[Depends(require_api_key)])\napp.include_router(items.router, prefix='/api')\n@app.get('/health')\ndef health(): return 1\n"
+    items = (
+        "router = APIRouter(prefix='/items')\n@router.get('/{user_id}')\ndef read(user_id, limit: int = 10, user=Depends(get_user)):\n    save()\n    requests.get('x')\n"
+        "@router.post('/up')\nasync def up(f: UploadFile = File(...)): pass\ndef get_user(token=Depends(oauth)):\n    return jwt.decode(token)\ndef oauth(): pass\ndef save():\n    session.commit()\n"
+    )
+    tree = written(python_ast.nodes(spark.createDataFrame([("app/main.py", main), ("app/items.py", items)], "path string, text string")))
+    found = written(routes.routes(tree))
+    got = {(r.method, r.path): r for r in found.collect()}
+    assert set(got) == {("GET", "/health"), ("GET", "/api/items/{user_id}"), ("POST", "/api/items/up")}
+    read = got[("GET", "/api/items/{user_id}")]
+    assert read.dependencies == ["get_user", "oauth", "require_api_key"] and read.user_token_verified and read.paginated and "path:user_id" in read.identity_inputs
+    assert got[("POST", "/api/items/up")].flags == ["FILE UPLOAD"] and got[("GET", "/health")].auth == "shared API key only"
+    spots = routes.hotspots(tree, found).collect()
+    assert [(r.name, r.kinds, r.handler) for r in spots] == [("read", ["db write", "network"], True)]
+    scripts = spark.createDataFrame([("web/a.ts", "fetch(`/api/items/${id}`)\nfetch('/api/nothing?x=1')\nfetch('/api/nothing')"), ("web/b.ts", "x('/other')")], "path string, text string")
+    calls = routes.client_calls(scripts, spark.createDataFrame([("api",)], "segment string"))
+    assert {(r.path, r.line) for r in calls.collect()} == {("/api/items/{}", 1), ("/api/nothing", 2)}
+    assert [r.path for r in routes.unmatched_calls(calls, found).collect()] == ["/api/nothing"]
+
+
+def test_text_signals(spark):
+    from quarry.operators import text_signals as X
+
+    files = spark.createDataFrame([("Dockerfile", "FROM python\n# FROM x\nCOPY . /app"), ("web/package.json", "{}"), ("api/pyproject.toml", ""), ("api/uv.lock", ""), ("none", None)], "path string, text string")
+    assert {(r.kind, r.line) for r in X.signals(files).collect()} == {("supply_chain", 1), ("packaged_artifacts", 3)}
+    assert [r.path for r in X.absent_lockfiles(files).collect()] == ["web/package.json"]
+    deps = spark.createDataFrame([("requests", "r.txt"), ("httpx", "r.txt"), ("pyyaml", "r.txt")], "package string, source_file string")
+    fams = spark.createDataFrame([("requests", "http"), ("httpx", "http")], "package string, family string")
+    assert [r.members for r in X.duplicate_families(deps, fams).collect()] == [["httpx", "requests"]]
+    used = spark.createDataFrame([("yaml.loader",), ("requests",)], "name string")
+    assert [r.package for r in X.unused_dependencies(deps, used, spark.createDataFrame([("pyyaml", "yaml")], "package string, module string")).collect()] == ["httpx"]
+
+
+def test_report(spark, tmp_path):
+    from quarry.plans import report
+
+    ev = "array<struct<file: string, line_start: int, line_end: int>>"
+    rows = [("SEC-2", "security", "High", "high", "a|b", "d", "i", [("f", 1, 1)], None), ("SEC-1", "security", "Critical", "medium", "t", None, None, [("f", 1, 3)] * 14, None), ("ENV-1", "secrets", "Low", "low", "x", "", "", [], None), ("SEC-3", "security", "Low", "high", "dup", "", "", [], "SEC-1")]
+    found = spark.createDataFrame(rows, f"id string, category string, severity string, confidence string, title string, description string, impact string, evidence {ev}, duplicate_of string")
+    lanes = spark.createDataFrame([("security", "Security", 1), ("secrets", "Secrets", 2)], "category string, label string, place int")
+    kept = report.assemble(found)
+    assert {r.id: r.section for r in report.numbered_sections(kept, lanes).collect()} == {"SEC-1": "1.1", "SEC-2": "1.2"}
+    assert {(r.kind, r.name, r.n) for r in report.issues_summary(kept).collect()} == {("severity", "High", 1), ("severity", "Critical", 1), ("category", "security", 2), ("total", "all", 2)}
+    report.write_markdown(report.markdown(kept, lanes, "demo"), f"{tmp_path}/md")
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "md").glob("part-*")))
+    assert text.startswith("# demo — Full Engineering Review") and "**Findings:** 1 Critical, 1 High, 0 Medium, 0 Low — 2 total" in text
+    assert text.index("### 1.1 t") < text.index("### 1.2 a\\|b") and "`f:1-3`" in text and "+2 more" in text
+
+
+def test_streams(spark, tmp_path):
+    from quarry.streaming import progress
+
+    events = [("r1", "clone", "running", 1), ("r1", "clone", "completed", 2), ("r1", "review", "completed", 3), ("r2", "clone", "failed", 1), ("r3", "clone", "running", 1)]
+    spark.createDataFrame(events, "run string, stage string, status string, t int").selectExpr("run", "stage", "status", "timestamp_seconds(t) ts").write.parquet(f"{tmp_path}/in")
+    batch = progress.fold(spark.read.parquet(f"{tmp_path}/in"))
+    assert {(r.run, r.stage) for r in progress.final_stage(batch, "review").collect()} == {("r1", "done"), ("r2", "failed"), ("r3", "clone")}
+    stream = spark.readStream.schema("run string, stage string, status string, ts timestamp").parquet(f"{tmp_path}/in")
+    q = progress.fold(stream).writeStream.outputMode("complete").format("memory").queryName("folded").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert {tuple(r) for r in spark.table("folded").collect()} == {tuple(r) for r in batch.collect()}
+    progress.write_once(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+    assert {(r.run, r.state) for r in progress.stale_runs(spark.read.parquet(f"{tmp_path}/in")).collect()} == {("r1", "finished"), ("r2", "finished"), ("r3", "stale")}
+    assert progress.stale_runs(stream).isStreaming and progress.window_counts(stream, kind="stage").isStreaming
