@@ -28,7 +28,7 @@ HASHED = 256
 DENSE = 18
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _slot(ending: bytes) -> int:
     return zlib.crc32(ending) % HASHED
 
@@ -52,7 +52,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _descend(gradient, size: int, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def _descend(gradient, size: int, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
     """Adam from zero."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, steps + 1):
@@ -70,16 +70,15 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     w = _descend(lambda w: -(p.T @ (1 - _sigmoid(p @ w))) / len(p) + (u.T @ _sigmoid(u @ w)) / len(u), p.shape[1])
     a, b = np.sort(p2 @ w), np.sort(u2 @ w)
     best = 1.0
-    for cut in np.quantile(a, np.linspace(0, 0.9, 91)):
+    for cut in np.quantile(a, np.linspace(0, 0.75, 76)):  # at least a quarter of the positives above the cut
         qp, qu = 1 - np.searchsorted(a, cut) / len(a), 1 - np.searchsorted(b, cut) / len(b)
-        slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(a)) + 1 / np.sqrt(len(b)))
-        if qp > 0:
-            best = min(best, (qu + slack * (1 - qp)) / qp)
+        best = min(best, qu / qp)
     return float(min(0.99, max(0.01, best)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
-    """Weights over the features that minimise the non-negative risk."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, tolerance: float = 0.2) -> np.ndarray:
+    """Weights over the features that minimise the non-negative risk; the part for negatives counts while it is above -tolerance,
+    which lets an estimated prior be a little too large."""
 
     def gradient(w: np.ndarray) -> np.ndarray:
         zp, zu = positive @ w, unlabelled @ w
@@ -87,7 +86,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarra
         gain = -(positive.T @ (1 - sp)) / len(zp)
         negative = (unlabelled.T @ su) / len(zu) - prior * (positive.T @ sp) / len(zp)
         risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        return prior * gain + (negative if risk >= 0 else 0)
+        return prior * gain + (negative if risk >= -tolerance else 0)
 
     return _descend(gradient, positive.shape[1])
 
