@@ -240,3 +240,36 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
     assert {(r.run, r.state) for r in progress.stale_runs(spark.read.parquet(f"{tmp_path}/in")).collect()} == {("r1", "finished"), ("r2", "finished"), ("r3", "stale")}
     assert progress.stale_runs(stream).isStreaming and progress.window_counts(stream, kind="stage").isStreaming
+
+
+def test_leads_and_stages(spark, tmp_path):
+    from quarry.plans import leads, stages
+
+    sources = [("app/main.py", "Python", "from app import a\napp = FastAPI()\n@app.post('/chat')\nasync def chat(f: UploadFile): time.sleep(1)\n"), ("app/a.py", "Python", "x = 1\n"), ("app/dead.py", "Python", "y = 1\n"), ("app/__init__.py", "Python", ""), ("Dockerfile", None, "FROM python\n")]
+    files = spark.createDataFrame(sources, "path string, language string, text string")
+    got = stages.analyse(spark, files)
+    assert {r.file for r in stages.unreachable(got, files).collect()} == {"app/dead.py"}
+    found = written(leads.build(got))
+    rows = {(r.lane, r.label): (r.file, r.line) for r in found.collect()}
+    assert rows[("inputs", "uploads")] == ("app/main.py", None) and rows[("performance", "blocking calls in async functions")] == ("app/main.py", 4) and ("dependencies", "unpinned images") in rows
+    spans = spark.createDataFrame([("performance", "app/main.py", 10, 12), ("inputs", "other.py", 1, 1)], "lane string, file string, low int, high int")
+    dismissed = spark.createDataFrame([("dependencies", "unpinned images")], "lane string, label string")
+    left = {(r.lane, r.label) for r in leads.open_leads(found, spans, dismissed).collect()}
+    assert ("inputs", "uploads") in left and ("performance", "blocking calls in async functions") not in left and ("dependencies", "unpinned images") not in left
+    made = []
+    for _ in range(2):
+        t = stages.cached(spark, f"file://{tmp_path}", stages.stage_key("sha", "1"), lambda: made.append(1) or found)
+        assert t.count() == found.count()
+    assert made == [1]
+
+
+def test_config(spark):
+    import pytest
+
+    from quarry.sources import config
+
+    raw = b'[[categories]]\nid="a"\ncode="A"\neffort=1\n[[categories]]\nid="b"\ncode="B"\neffort=3\n[[kpis]]\nid="K"\n[tool_owners]\nruff="a"\n'
+    tables = config.dimensions(spark, config.parse(raw))
+    assert [r.category for r in config.launch_order(tables["categories"]).collect()] == ["b", "a"]
+    with pytest.raises(config.ConfigError, match="no category"):
+        config.parse(raw.replace(b'ruff="a"', b'ruff="zz"'))
