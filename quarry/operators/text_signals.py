@@ -13,7 +13,13 @@ RULES: list[tuple[str, str, str, bool]] = [
     ("schema_marked_not_migrated", r"\.(sh|ya?ml|py|toml|md)$|(^|/)Dockerfile$", r"alembic\s+stamp|--fake(-initial)?\b|migrate\s+--fake", True),
     ("deploy_env", r"(^|/)(docker-)?compose[^/]*\.ya?ml$", r"^\s*privileged:\s*true", True),
     ("ci_without_checks", r"(^|/)(\.github/workflows/[^/]+\.ya?ml|\.gitlab-ci\.yml)$", r"(?i)skip[-_ ]?tests", True),
-]
+    *[(kind, r"\.(jsx?|tsx?|mjs|cjs|vue|html?)$", line, True) for kind, line in (
+        ("web-dangerously-set-inner-html", r"dangerouslySetInnerHTML"), ("web-innerhtml-or-document-write", r"\.innerHTML\s*=[^=]|document\.write\("), ("web-raw-html-markdown", r"rehypeRaw|allowDangerousHtml|skipHtml=\{false\}"),
+        ("web-credential-in-url", r"(?i)[?&](access_?token|token|api_?key|password)=\$?\{?"), ("web-postmessage-any-origin", r"postMessage\([^)]*,\s*['\"]\*['\"]"), ("web-redirect-from-url-param", r"location(\.href)?\s*=\s*.*(searchParams|URLSearchParams|query\.)"),
+        ("web-iframe-sandbox-escape", r"sandbox=.*allow-scripts.*allow-same-origin|sandbox=.*allow-same-origin.*allow-scripts"), ("web-secret-in-client-env", r"(VITE_|NEXT_PUBLIC_|REACT_APP_|EXPO_PUBLIC_|NUXT_PUBLIC_)\w*(SECRET|PASSWORD|PRIVATE|TOKEN|API_?KEY)"),
+        ("web-eval", r"\beval\(|new Function\("), ("web-credential-in-web-storage", r"(?i)(localStorage|sessionStorage)\.setItem\(\s*['\"`][^'\"`]*(token|secret|password|jwt)"), ("web-spreadsheet-export", r"XLSX\.|json_to_sheet|ExcelJS"),
+    )],
+]
 
 
 def register_text_rule(kind: str, files: str, line: str, skip_comments: bool = True) -> None:

@@ -273,3 +273,26 @@ def test_config(spark):
     assert [r.category for r in config.launch_order(tables["categories"]).collect()] == ["b", "a"]
     with pytest.raises(config.ConfigError, match="no category"):
         config.parse(raw.replace(b'ruff="a"', b'ruff="zz"'))
+
+
+def test_more_rules_and_folds(spark):
+    from quarry.operators import text_signals as X
+
+    src = "client = OpenAI()\ndef login(price: float):\n    for x in y:\n        chain.invoke(x)\n    resp.set_cookie('a')\n    k = os.getenv('API_KEY', 'abc123')\n    jwt.decode(t, options=verify_none)\n    redirect(request.args)\n"
+    tree = written(python_ast.nodes(spark.createDataFrame([("m.py", src)], "path string, text string")))
+    kinds = {r.kind for r in python_ast.signals(tree).collect()}
+    assert {"model_clients_at_import", "python-float-for-money", "python-model-call-in-loop", "python-cookie-missing-flags", "python-insecure-secret-default", "python-jwt-verification-disabled", "python-open-redirect"} <= kinds
+    web = spark.createDataFrame([("a.tsx", "<div dangerouslySetInnerHTML={x}/>\n// eval(x)\neval(y)\nlocalStorage.setItem('token', t)")], "path string, text string")
+    assert {(r.kind, r.line) for r in X.signals(web).collect()} == {("web-dangerously-set-inner-html", 1), ("web-eval", 3), ("web-credential-in-web-storage", 4)}
+    files = spark.createDataFrame([("a.py", 10)], "file string, lines int")
+    ev = spark.createDataFrame([("a.py", 3, 2, "n"), ("a.py", 11, None, ""), ("b.py", 1, 1, ""), (".env", 1, 1, "")], "file string, line_start int, line_end int, note string")
+    assert {(r.file, r.line_start, r.line_end, r.reason) for r in collector.valid_evidence(ev, files).collect()} == {("a.py", 3, None, None), ("a.py", 11, None, "beyond the end of the file"), ("b.py", 1, 1, "no such file"), (".env", 1, 1, "sensitive file")}
+    found = spark.createDataFrame([("1", "High"), ("2", "Low"), ("3", "Low")], "id string, severity string")
+    acts = spark.createDataFrame([(1, "1", "rejected", None, ""), (2, "1", "adjusted", "Medium", "n"), (3, "2", "rejected", None, "")], "seq long, id string, verdict string, severity string, note string")
+    assert {(r.id, r.severity, r.original_severity, r.rejected) for r in collector.verdicts(found, acts).collect()} == {("1", "Medium", "High", False), ("2", "Low", None, True), ("3", "Low", None, False)}
+    kpis = spark.createDataFrame([("K1",), ("K2",), ("K3",)], "kpi string")
+    told = spark.createDataFrame([(1, "K1", "not_applicable", ["x"]), (2, "K2", "closed", ["f"])], "seq long, kpi string, status string, files array<string>")
+    leads = spark.createDataFrame([("K1", "f"), ("K2", "f")], "kpi string, file string")
+    assert {tuple(r) for r in collector.kpi_assessments(told, leads, kpis).collect()} == {("K1", "not_verified", False), ("K2", "closed", True), ("K3", "not_verified", None)}
+    numbered = collector.audit_batches(spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "lane string, seq long"), 1)
+    assert {tuple(r) for r in numbered.collect()} == {("a", 1, 1, 0), ("a", 2, 2, 1), ("b", 1, 3, 0)}
