@@ -51,7 +51,7 @@ def similar_sets(sets: DataFrame, ident: str, terms: str, least: float) -> DataF
     """(a, b, similarity), a < b: rows whose term sets have a Jaccard similarity of ``least`` or more. Empty and null sets match nothing.
 
     Exact, by prefix filter: terms are ordered by how many sets hold them, rarest first; two similar sets share one of the first
-    n - ceil(least * n) + 1 terms of each. Give it distinct sets (``distinct_sets``), or equal ones make pairs in plenty.
+    n - ceil(least * n) + 1 terms of each, and after the first one they share, enough terms must be left in both. Give it distinct sets (``distinct_sets``), or equal ones make pairs in plenty.
     """
     some = sets.where(F.size(terms) > 0).select(ident, terms)
     rank = some.select(F.explode(terms).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
@@ -61,9 +61,11 @@ def similar_sets(sets: DataFrame, ident: str, terms: str, least: float) -> DataF
     )
     size = F.size("ts")
     prefix = F.slice("ts", 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
-    keyed = ordered.select(ident, size.alias("n"), F.explode(prefix).alias("t"))
-    side = lambda n: keyed.select("t", F.col(ident).alias(n), F.col("n").alias(f"n_{n}"))
-    met = side("a").join(side("b"), "t").where("a < b").where((F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
+    keyed = ordered.select(ident, size.alias("n"), F.posexplode(prefix).alias("i", "t"))
+    side = lambda n: keyed.select("t", F.col(ident).alias(n), F.col("n").alias(f"n_{n}"), F.col("i").alias(f"i_{n}"))
+    long_enough = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
+    enough_left = 1 + F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1) >= F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9)
+    met = side("a").join(side("b"), "t").where("a < b").where(long_enough & enough_left).select("a", "b").distinct()
     full = lambda n: ordered.select(F.col(ident).alias(n), F.col("ts").alias(f"t_{n}"))
     return met.join(full("a"), "a").join(full("b"), "b").withColumn("similarity", jaccard(F.col("t_a"), F.col("t_b"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
