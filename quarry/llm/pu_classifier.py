@@ -67,7 +67,12 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     p, u, p2, u2 = positive[::2], unlabelled[::2], positive[1::2], unlabelled[1::2]
     if not len(p2) or not len(u2):
         return 0.5
-    w = _descend(lambda w: -(p.T @ (1 - _sigmoid(p @ w))) / len(p) + (u.T @ _sigmoid(u @ w)) / len(u), p.shape[1])
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        w = w.astype(p.dtype)
+        return -(p.T @ (1 - _sigmoid(p @ w))) / len(p) + (u.T @ _sigmoid(u @ w)) / len(u)
+
+    w = _descend(gradient, p.shape[1])
     a, b = np.sort(p2 @ w), np.sort(u2 @ w)
     best = 1.0
     for cut in np.quantile(a, np.linspace(0, 0.75, 76)):  # at least a quarter of the positives above the cut
@@ -81,6 +86,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, tolerance: f
     which lets an estimated prior be a little too large."""
 
     def gradient(w: np.ndarray) -> np.ndarray:
+        w = w.astype(positive.dtype)
         zp, zu = positive @ w, unlabelled @ w
         sp, su = _sigmoid(zp), _sigmoid(zu)
         gain = -(positive.T @ (1 - sp)) / len(zp)
@@ -117,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return None, 0.5
     spread = x.std(axis=0) + 1e-2
     spread[DENSE:] *= 3  # surface rates before endings
-    xp, xu = x[is_p] / spread, x[is_u] / spread
+    xp, xu = (x[is_p] / spread).astype(np.float32), (x[is_u] / spread).astype(np.float32)
     prior = class_prior(xp, xu)
     return fit(xp, xu, prior) / spread, prior
 
