@@ -66,3 +66,33 @@ def parallel_implementations(functions: DataFrame, modifiers: list[str], call_ed
     within = call_edges.join(rows.select(F.col("id").alias("caller_id"), F.col("core").alias("a")), "caller_id").join(rows.select(F.col("id").alias("callee_id"), F.col("core").alias("b")), "callee_id").where("a = b and caller_id <> callee_id").select(F.col("a").alias("core")).distinct()
     groups = rows.groupBy("core").agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("file")).alias("files"), F.countDistinct("content_hash").alias("bodies"), F.count("*").alias("members"), F.sum("loc").alias("lines"))
     return groups.where("members >= 2 and bodies >= 2 and (size(files) > 1 or size(names) > 1)").join(within, "core", "left_anti").select("core", "names", "files", "lines")
+
+
+def document_claims(files: DataFrame, cap: int = 40) -> DataFrame:
+    """(file, line, claim): bulleted or numbered lines of system documents, or their headings where there are none; the first ``cap`` a file."""
+    from quarry.operators.windows import numbered
+
+    docs = files.where(F.lower(F.element_at(F.split("path", "/"), -1)).isin("agents.md", "claude.md", "architecture.md")).select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    bullet, heading = F.col("raw").rlike(r"^\s*([-*+]|\d+[.)])\s+\S"), F.col("raw").rlike(r"^#+\s+\S")
+    rows = docs.withColumn("tier", F.when(bullet, 0).when(heading, 1)).where("tier is not null")
+    best = rows.groupBy("file").agg(F.min("tier").alias("best"))
+    kept = rows.join(best, "file").where("tier = best")
+    claim = F.trim(F.regexp_replace("raw", r"^\s*([-*+]|\d+[.)]|#+)\s+", ""))
+    return numbered(kept, ["file"], [F.col("pos")], "n").where(F.col("n") <= cap).select("file", (F.col("pos") + 1).alias("line"), claim.alias("claim"))
+
+
+#: Runtime, file pattern, line pattern with the version in group 1.
+RUNTIMES = [
+    ("python", r"(^|/)\.python-version$", r"^\s*(\d[\w.]*)"), ("python", r"(^|/)pyproject\.toml$", r"^\s*requires-python\s*=\s*['\"]([^'\"]+)"), ("python", r"(^|/)[^/]*Dockerfile[^/]*$", r"(?i)^\s*FROM\s+python:(\S+)"),
+    ("node", r"(^|/)\.nvmrc$", r"^\s*v?(\d[\w.]*)"), ("node", r"(^|/)package\.json$", r"\"node\"\s*:\s*\"([^\"]+)"), ("node", r"(^|/)[^/]*Dockerfile[^/]*$", r"(?i)^\s*FROM\s+node:(\S+)"),
+]
+
+
+def declared_runtimes(files: DataFrame) -> DataFrame:
+    """(runtime, version, file, line) of version files, manifests and images."""
+    wanted = F.lit(False)
+    for _, names, _ in RUNTIMES:
+        wanted = wanted | F.col("path").rlike(names)
+    each = files.where(wanted & F.col("text").isNotNull()).select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    found = F.array_compact(F.array(*[F.when(F.col("file").rlike(names) & F.col("raw").rlike(line), F.struct(F.lit(r).alias("runtime"), F.regexp_extract("raw", line, 1).alias("version"))) for r, names, line in RUNTIMES]))
+    return each.select(F.explode(found).alias("x"), "file", (F.col("pos") + 1).alias("line")).select("x.runtime", "x.version", "file", "line")

@@ -53,3 +53,18 @@ def markdown(findings: DataFrame, categories: DataFrame, title: str) -> DataFram
 def write_markdown(lines: DataFrame, folder: str) -> None:
     """Text files in reading order."""
     lines.repartitionByRange("block", "position").sortWithinPartitions("block", "position").select("line").write.mode("overwrite").text(folder)
+
+
+def route_map(routes: DataFrame) -> DataFrame:
+    """(block, position, line): a Markdown table of routes in path order."""
+    head = routes.sparkSession.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("p"), F.lit("| Method | Path | Auth | Flags | Handler |").alias("line")), F.struct(F.lit(1).alias("p"), F.lit("|---|---|---|---|---|").alias("line")))).alias("x")).select(F.lit(0).alias("block"), F.col("x.p").cast("string").alias("position"), "x.line")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", "method", _cell(F.col("path")), "auth", F.array_join("flags", ", "), F.concat(F.lit("`"), "file", F.lit(":"), F.col("line").cast("string"), F.lit("` "), "handler")), F.lit(" |"))
+    return head.unionByName(routes.select(F.lit(1).alias("block"), F.concat_ws(" ", "path", "method").alias("position"), row.alias("line")))
+
+
+def lines_with_rest(signals: DataFrame, cap: int = 40) -> DataFrame:
+    """(kind, position, text): each kind's first places and a row that counts the rest."""
+    from quarry.operators.windows import capped_list
+
+    rows = signals.select("kind", F.concat(F.lit("`"), "file", F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")), F.lit("` "), F.coalesce("text", F.lit(""))).alias("text"))
+    return capped_list(rows, ["kind"], [F.col("text")], cap, "text")

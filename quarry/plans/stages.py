@@ -33,7 +33,7 @@ def analyse(spark: SparkSession, files: DataFrame) -> dict[str, DataFrame]:
     python = files.where("language = 'Python'")
     scripts = files.where("language in ('JavaScript', 'TypeScript')")
     tree = written(P.nodes(python))
-    out = {name: getattr(P, name)(tree) for name in ("functions", "classes", "contains_edges", "call_edges", "env_reads", "endpoints")}
+    out = {name: getattr(P, name)(tree) for name in ("functions", "classes", "contains_edges", "call_edges", "env_reads", "endpoints", "process_state", "background_jobs")}
     out["signals"] = P.signals(tree).select("kind", "file", "line", "text").unionByName(X.signals(files))
     out["imports"] = P.import_edges(tree, python)
     out["entrypoints"] = P.entrypoints(tree, python)

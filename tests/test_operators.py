@@ -296,3 +296,20 @@ def test_more_rules_and_folds(spark):
     assert {tuple(r) for r in collector.kpi_assessments(told, leads, kpis).collect()} == {("K1", "not_verified", False), ("K2", "closed", True), ("K3", "not_verified", None)}
     numbered = collector.audit_batches(spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "lane string, seq long"), 1)
     assert {tuple(r) for r in numbered.collect()} == {("a", 1, 1, 0), ("a", 2, 2, 1), ("b", 1, 3, 0)}
+
+
+def test_state_jobs_claims_runtimes_and_maps(spark):
+    from quarry.operators import text_signals as X
+    from quarry.plans import report
+
+    src = "CACHE = {}\nN = 0\nLOCK = threading.Lock()\nFIXED = [1]\ndef put(k):\n    global N\n    N = 1\n    CACHE[k] = 1\n    asyncio.create_task(work())\n    Thread(target=other)\nasync def work(): pass\n"
+    tree = written(python_ast.nodes(spark.createDataFrame([("m.py", src), ("o.py", "def other(): pass")], "path string, text string")))
+    assert {(r.name, r.kind) for r in python_ast.process_state(tree).collect()} == {("CACHE", "mutated"), ("N", "global"), ("LOCK", "sync")}
+    assert {(r.job, r.kind, r.file, tuple(r.started_at)) for r in python_ast.background_jobs(tree).collect()} == {("work", "task", "m.py", ("m.py:9",)), ("other", "thread", "o.py", ("m.py:10",))}
+    files = spark.createDataFrame([("AGENTS.md", "# Head\n- one\n2. two"), ("a/agents.md", "# Only\ntext"), (".python-version", "3.13\n"), ("Dockerfile", "FROM node:22-slim")], "path string, text string")
+    assert {(r.file, r.line, r.claim) for r in X.document_claims(files).collect()} == {("AGENTS.md", 2, "one"), ("AGENTS.md", 3, "two"), ("a/agents.md", 1, "Only")}
+    assert {(r.runtime, r.version) for r in X.declared_runtimes(files).collect()} == {("python", "3.13"), ("node", "22-slim")}
+    rows = spark.createDataFrame([("GET", "/a|b", "NONE", ["F"], "f.py", 3, "h")], "method string, path string, auth string, flags array<string>, file string, line int, handler string")
+    assert [r.line for r in report.route_map(rows).orderBy("block", "position").collect()][-1] == "| GET | /a\\|b | NONE | F | `f.py:3` h |"
+    many = spark.createDataFrame([("k", "f", i, "t") for i in range(3)], "kind string, file string, line int, text string")
+    assert [r.text for r in report.lines_with_rest(many, 2).orderBy("position").collect()][-1] == "… 1 more"
