@@ -151,3 +151,17 @@ def client_calls(files: DataFrame, first_segments: DataFrame) -> DataFrame:
 
 def unmatched_calls(calls: DataFrame, route_map: DataFrame) -> DataFrame:
     return joins.match_routes(calls, route_map.select(F.col("path").alias("route")), "path", "route")
+
+
+def blueprint_routes(tree: DataFrame) -> DataFrame:
+    """method, path, handler, file, line of Flask-like applications and blueprints; the prefix given when a blueprint is registered overrides its
+    own, and a blueprint registered more than once serves under each prefix."""
+    last = F.element_at(F.split("detail", r"\."), -1)
+    apps = tree.where("kind = 'assign_call'").where(last.isin("Flask", "Quart", "Sanic", "Blueprint")).select("path", F.col("name").alias("var"), _text("keywords", "url_prefix").alias("own_prefix"))
+    named = F.element_at(F.split(F.element_at("keywords", "_0"), r"\."), -1)
+    registered = tree.where("kind = 'call' and name in ('register_blueprint', 'blueprint')").select(named.alias("var"), F.nullif(_text("keywords", "url_prefix"), F.lit("")).alias("new_prefix")).distinct()
+    listed = F.filter(F.split(F.coalesce(F.element_at("keywords", "methods"), F.lit("")), ","), lambda m: m != "")
+    methods = F.when(F.col("name") == "route", F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("GET")))).otherwise(F.array(F.upper("name")))
+    raw = tree.where("kind = 'decorator'").where(F.col("name").isin(*python_ast.VERBS, "route") & (F.size("literals") > 0)).select("path", "line", F.element_at(F.split("qualname", r"\."), 1).alias("var"), F.explode(methods).alias("method"), F.element_at("literals", 1).alias("own"), F.col("owner_name").alias("handler"))
+    full = raw.join(apps, ["path", "var"]).join(registered, "var", "left")
+    return full.select("method", S.framework_path(F.concat(F.coalesce("new_prefix", "own_prefix"), "own")).alias("route"), "handler", F.col("path").alias("file"), "line").withColumnRenamed("route", "path").distinct()

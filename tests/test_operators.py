@@ -313,3 +313,12 @@ def test_state_jobs_claims_runtimes_and_maps(spark):
     assert [r.line for r in report.route_map(rows).orderBy("block", "position").collect()][-1] == "| GET | /a\\|b | NONE | F | `f.py:3` h |"
     many = spark.createDataFrame([("k", "f", i, "t") for i in range(3)], "kind string, file string, line int, text string")
     assert [r.text for r in report.lines_with_rest(many, 2).orderBy("position").collect()][-1] == "… 1 more"
+
+
+def test_flask_and_class_routes(spark):
+    from quarry.operators import routes
+
+    src = "app = Flask(__name__)\nbp = Blueprint('b', __name__, url_prefix='/own')\napp.register_blueprint(bp, url_prefix='/api')\n@bp.route('/items/<int:id>', methods=['GET', 'POST'])\ndef items(id): pass\n@app.get('/')\ndef root(): pass\nclass V(MethodView):\n    def get(self): pass\n    def delete(self): pass\napp.add_url_rule('/v', view_func=V.as_view('v'))\n"
+    tree = written(python_ast.nodes(spark.createDataFrame([("m.py", src)], "path string, text string")))
+    assert {(r.method, r.path) for r in routes.blueprint_routes(tree).collect()} == {("GET", "/api/items/{id}"), ("POST", "/api/items/{id}"), ("GET", "/")}
+    assert {(r.method, r.endpoint, r.handler) for r in python_ast.class_endpoints(tree).collect()} == {("GET", "/v", "V"), ("DELETE", "/v", "V")}
