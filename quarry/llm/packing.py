@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.shared import Scratch, map_rows
-from quarry.llm.word_tokens import chunk_tokenizer
+from quarry.llm.word_tokens import shared_tokenizer
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -134,7 +134,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(texts: list) -> list[list]:
-        encode = chunk_tokenizer(tokenizer)
+        encode = shared_tokenizer(tokenizer)
         out: list[list] = [[] for _ in range(6 if with_ids else 5)]
         for i, t in enumerate(texts):
             raw = encode(t) + end
@@ -146,7 +146,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str
         return out
 
     made = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())] + [("ids", T.ArrayType(T.LongType()))] * with_ids
-    return map_rows(docs, text, made, rows, [doc_id], fan_out=True)
+    return map_rows(docs, text, made, rows, [doc_id], fan_out=True, memo="chunks")
 
 
 def pack_pieces(scratch: Scratch, pieces: DataFrame, order: list[str], capacity: int, part: int = 200_000) -> DataFrame:

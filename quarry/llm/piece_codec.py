@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import map_rows
+from quarry.llm.shared import MEMOS, map_rows
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -163,13 +163,20 @@ def codec(path: str, scores: str = "merge") -> PieceCodec:
     return PieceCodec(path, scores)
 
 
+def shared_codec(path: str, scores: str = "merge") -> PieceCodec:
+    """The worker's codec; its memos go when another operator takes over the worker."""
+    made = codec(path, scores)
+    MEMOS["pieces"] = lambda: (made.memo.clear(), made.follows.clear())
+    return made
+
+
 def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", scores: str = "merge", with_ids: bool = True) -> DataFrame:
     """doc_id, n_ids, n_bytes (ids of byte pieces), ids_crc32 (of unsigned little-endian 32-bit ids), round_trip and, if asked for, ids of
     every row. Null and empty texts have no ids. round_trip: the ids decode to the text (space marks in it count as spaces). A null doc_id
     stays null; repeated rows are encoded alike; other columns are ignored; an empty table gives no rows."""
 
     def rows(texts: list) -> list[list]:
-        c = codec(model, scores)
+        c = shared_codec(model, scores)
         byte_ids = np.array(sorted(c.byte.values()), np.uint32)
         out: list[list] = [[] for _ in range(5 if with_ids else 4)]
         for t in texts:
@@ -186,7 +193,7 @@ def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
 
     made = [("n_ids", T.LongType()), ("n_bytes", T.LongType()), ("ids_crc32", T.LongType()), ("round_trip", T.BooleanType())] + [("ids", T.ArrayType(T.LongType()))] * with_ids
     plain = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__t"))
-    return map_rows(plain, "__t", made, rows, ["__id"]).withColumnRenamed("__id", doc_id)
+    return map_rows(plain, "__t", made, rows, ["__id"], memo="pieces").withColumnRenamed("__id", doc_id)
 
 
 def decode_ids(encoded: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:

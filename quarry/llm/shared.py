@@ -28,8 +28,12 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Written tables in the shared folder. A table survives lost executors and cuts the lineage."""
 
+    #: All scratch spaces of this driver, in the order they were opened.
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.home, self.made = spark, f"{shared_root(spark)}/quarry/{label}-{uuid.uuid4().hex}", 0
+        Scratch.opened.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -45,24 +49,41 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of this scratch space that no later plan reads."""
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Delete all of it, once what was made from it has been written elsewhere."""
+        self._delete(self.home)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, text: str, made: list[tuple[str, T.DataType]], rows: Callable[[list], list[list]], carry: list[str] | None = None, fan_out: bool = False) -> DataFrame:
+#: Memos of this worker process by owner, and how to empty them. Workers outlive tasks and serve one operator after another.
+MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def release_memos(owner: str | None = None) -> None:
+    """Empty the memos of all owners but this one."""
+    for name in [n for n in MEMOS if n != owner]:
+        MEMOS.pop(name)()
+
+
+def map_rows(df: DataFrame, text: str, made: list[tuple[str, T.DataType]], rows: Callable[[list], list[list]], carry: list[str] | None = None, fan_out: bool = False, memo: str | None = None) -> DataFrame:
     """Add columns computed in Python from one string column, batch by batch.
 
     ``rows`` gets the list of texts (None for null) and returns one list of values for each made column;
     with ``fan_out`` it first returns, for every made row, the index of the text that it came from.
-    ``carry`` names the columns that go along unchanged (all but the text, if None).
+    ``carry`` names the columns that go along unchanged (all but the text, if None). ``memo``: the owner whose memo stays
+    in the worker; those of operators that ran before are emptied.
     """
     carry = [c for c in df.columns if c != text] if carry is None else carry
     source = "__text"
@@ -74,6 +95,7 @@ def map_rows(df: DataFrame, text: str, made: list[tuple[str, T.DataType]], rows:
     n = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memos(memo)
         for batch in batches:
             values = rows(batch.column(n).to_pylist())
             kept = batch.columns[:n]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.shared import Scratch, global_order, map_rows
+from quarry.llm.shared import Scratch, global_order, map_rows, release_memos
 
 #: Words a text may have at most, as places are numbered.
 PLACES = 1 << 24
@@ -235,6 +235,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         def rows(batches):
             import pyarrow as pa
 
+            release_memos()
             for batch in batches:
                 out = [[] for _ in range(6)]
                 for found, own, t in zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True):

@@ -14,6 +14,8 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from quarry.llm.shared import MEMOS
+
 TAIL = re.compile(rb"([0-9A-Za-z])([!-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|\Z)")
 #: Chunks that the memo of a worker holds, about; it is emptied then.
 MEMO = 800_000
@@ -71,3 +73,10 @@ class ChunkTokenizer:
 @lru_cache(maxsize=2)
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
+
+
+def shared_tokenizer(path: str) -> ChunkTokenizer:
+    """The worker's tokenizer; its memo goes when another operator takes over the worker."""
+    made = chunk_tokenizer(path)
+    MEMOS["chunks"] = made.memo.clear
+    return made
