@@ -6,6 +6,8 @@ of documents. run() writes each stage's result to the shared folder and reads it
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,28 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("simhash_near_dedup", near_dedup), ("substring_dedup", passages), ("best_fit_packing", pack)]
+_MADE: dict[int, list[Scratch]] = {}
+
+
+def _in_turn(at: int, stage):
+    """The stage, which first deletes the intermediate tables of the stage before: its docs are that one's result, written and read again."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for scratch in _MADE.pop(at - 1, []):
+            scratch.clear()
+        before = len(Scratch.opened)
+        out = stage(spark, docs, sf_dir)
+        _MADE[at] = Scratch.opened[before:]
+        return out
+
+    return run_stage
+
+
+STAGES = [
+    ("quality_rules", _in_turn(0, rules)), ("quality_classifier", _in_turn(1, classifier)), ("simhash_near_dedup", _in_turn(2, near_dedup)),
+    ("substring_dedup", _in_turn(3, passages)), ("best_fit_packing", _in_turn(4, pack)),
+]
 
 #: Expectation-maximisation, training and packing are beyond SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
