@@ -72,7 +72,7 @@ def document_claims(files: DataFrame, cap: int = 40) -> DataFrame:
     """(file, line, claim): bulleted or numbered lines of system documents, or their headings where there are none; the first ``cap`` a file."""
     from quarry.operators.windows import numbered
 
-    docs = files.where(F.lower(F.element_at(F.split("path", "/"), -1)).isin("agents.md", "claude.md", "architecture.md")).select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    docs = files.where(F.lower(F.element_at(F.split("path", "/"), -1)) == "agents.md").select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     bullet, heading = F.col("raw").rlike(r"^\s*([-*+]|\d+[.)])\s+\S"), F.col("raw").rlike(r"^#+\s+\S")
     rows = docs.withColumn("tier", F.when(bullet, 0).when(heading, 1)).where("tier is not null")
     best = rows.groupBy("file").agg(F.min("tier").alias("best"))
