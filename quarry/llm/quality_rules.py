@@ -2,8 +2,8 @@
 
 Each rule looks at surface counts of a text and votes good (+1), bad (-1) or abstains (0). The votes of all
 documents are counted by pattern; expectation-maximisation over those counts estimates, without labels, how often
-good and bad documents draw each vote from each rule (a rule's accuracy), and the posterior probability of quality
-weighs the votes of a document by them. A text that fails the base limits goes whatever the posterior.
+good documents and each kind of bad ones draw each vote from each rule (a rule's accuracy), and the posterior probability
+of quality weighs the votes of a document by them: a vote for bad can be outweighed. A text that fails the base limits goes whatever the posterior.
 
 Rules, all per word unless named otherwise. All vote bad or abstain, but for two that can also vote good:
     symbols          [#*$%&|<>] characters       bad > 0.20
@@ -19,10 +19,10 @@ A rule votes good only on texts of 50 words or more; on fewer its rates say litt
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,37 +91,40 @@ def votes() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, smooth: float = 1.0, prior: float = 0.8, sure: float = 1000.0) -> tuple[float, list[dict[int, float]]]:
-    """EM over (votes, count): the intercept and, for each rule and vote, the log-odds of quality that it adds.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 1000, smooth: float = 1.0, share: float = 0.25) -> list[tuple[float, list[dict[int, float]]]]:
+    """EM over (votes, count): for each kind of bad text the log-odds against good before any vote, and what each rule's vote adds.
 
-    A two-class model with votes independent given the class; it starts by doubting what drew any vote for bad. An abstention is an
-    outcome of its own. Rules are assumed better
-    than chance, which keeps the two classes from trading places: a vote for bad is ``sure`` times likelier in a bad text at least,
-    and neither a vote for good nor an abstention counts against quality. No documents: prior odds and no weights.
+    A mixture of good texts and one kind of bad text for each rule that votes bad anywhere; a text of a kind fails the rule of that
+    name, all other votes are independent given the kind, and an abstention is an outcome of its own. Each rule's rates are estimated
+    in every class, so a text that fails one rule but else votes like good texts and unlike that kind is taken for good. The one
+    assumption: a prior on the rates in good texts, as heavy as 30 and ``share`` of all texts that drew no vote for bad. It is a share so
+    that the verdict does not change when the corpus grows. No documents, or no votes for bad: no kinds.
     """
     if not patterns:
-        return math.log(prior / (1 - prior)), []
-    rules = range(len(patterns[0][0]))
-    belief = [0.1 if -1 in v else 0.95 for v, _ in patterns]
-    start, weights = 0.0, []
+        return []
+    cast, counts = np.array([v for v, _ in patterns]), np.array([n for _, n in patterns], float)
+    width, total = cast.shape[1], counts.sum()
+    kinds = [j for j in range(width) if (cast[:, j] == -1).any()]
+    drawn = (cast[:, :, None] == np.array([-1, 0, 1])).astype(float)
+    failed = (cast[:, kinds] == -1).astype(float)
+    many = failed.sum(axis=1, keepdims=True)
+    belief = np.hstack([np.where(many > 0, 0.1, 1.0), 0.9 * failed / np.maximum(many, 1)])
+    prior = np.full((len(kinds) + 1, width, 3), smooth)
+    prior[0, :, 1:] += (30 + share * total) / 2
     for _ in range(rounds):
-        good = sum(b * n for b, (_, n) in zip(belief, patterns, strict=True))
-        bad = sum((1 - b) * n for b, (_, n) in zip(belief, patterns, strict=True))
-        start = math.log((good + smooth) / (bad + smooth))
-        weights = []
-        for j in rules:
-            tally = {-1: [smooth, 2 * smooth], 0: [smooth, smooth], 1: [2 * smooth, smooth]}
-            for b, (v, n) in zip(belief, patterns, strict=True):
-                tally[v[j]][0] += b * n
-                tally[v[j]][1] += (1 - b) * n
-            odds = {v: math.log(g / (good + 4 * smooth)) - math.log(x / (bad + 4 * smooth)) for v, (g, x) in tally.items()}
-            weights.append({-1: min(-math.log(sure), odds[-1]), 0: max(0.0, odds[0]), 1: max(0.0, odds[1])})
-        new = [1 / (1 + math.exp(-max(-700.0, min(700.0, start + sum(w[x] for w, x in zip(weights, v, strict=True)))))) for v, _ in patterns]
-        moved = max(abs(a - b) for a, b in zip(new, belief, strict=True))
-        belief = new
+        held = belief * counts[:, None]
+        rates = np.einsum("pc,pjv->cjv", held, drawn) + prior
+        odds = np.log(rates / rates.sum(axis=2, keepdims=True))
+        for c, k in enumerate(kinds, 1):
+            odds[c, k] = (0.0, -1e9, -1e9)
+        start = np.log((held.sum(axis=0) + smooth) / (total + smooth * (len(kinds) + 1)))
+        score = start + np.einsum("pjv,cjv->pc", drawn, odds)
+        new = np.exp(score - score.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        moved, belief = np.abs(new - belief).max(), new
         if moved < 1e-9:
             break
-    return start, weights
+    return [(float(start[c] - start[0]), [dict(zip((-1, 0, 1), map(float, odds[c, j] - odds[0, j]), strict=True)) for j in range(width)]) for c in range(1, len(kinds) + 1)]
 
 
 def with_measures(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
@@ -132,14 +135,17 @@ def judge(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds base_failed, quality_probability, and kept. Runs one count over ``measured`` (at most 3^8 vote patterns reach the
     driver, whatever the input), so that should be a written table."""
     rules = votes()
-    counted = measured.groupBy(*[v.cast("int").alias(k) for k, v in rules.items()]).count().collect()
-    start, weights = estimate(sorted((tuple(r[:-1]), r[-1]) for r in counted))
-    score = F.lit(start)
-    for column, w in zip(rules.values(), weights, strict=False):
-        score = score + F.when(column == 1, w[1]).when(column == -1, w[-1]).otherwise(w[0])
+    voted = measured.withColumns({f"__{k}": v.cast("int") for k, v in rules.items()})
+    counted = voted.groupBy(*[f"__{k}" for k in rules]).count().collect()
+    against = F.lit(0.0)
+    for start, weights in estimate(sorted((tuple(r[:-1]), r[-1]) for r in counted)):
+        score = F.lit(start)
+        for k, w in zip(rules, weights, strict=True):
+            score = score + F.when(F.col(f"__{k}") == 1, w[1]).when(F.col(f"__{k}") == -1, w[-1]).otherwise(w[0])
+        against = against + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), score)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), score))))
-    return measured.withColumn("base_failed", failed).withColumn("quality_probability", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= threshold))
+    judged = voted.withColumn("base_failed", failed).withColumn("quality_probability", 1 / (1 + against)).drop(*[f"__{k}" for k in rules])
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= threshold))
 
 
 def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

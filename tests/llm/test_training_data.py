@@ -77,6 +77,19 @@ def test_quality_rules_tell_junk(spark):
     assert stay.columns == frame.columns and {r.doc_id for r in stay.collect()} == kept
 
 
+def test_a_bad_vote_can_be_outweighed(spark):
+    """Texts that shout also use bangs and end no sentence; one that only shouts votes like the good ones otherwise."""
+    from quarry.llm.quality_rules import assess
+
+    rng = random.Random(3)
+    sentences = lambda: " ".join(prose(rng, 12).capitalize() for _ in range(10))
+    rows = [(i, sentences()) for i in range(80)] + [(100 + i, prose(rng, 100).upper().replace(" ", "!! ")) for i in range(12)] + [(200, sentences().upper())]
+    rows += [(300 + i, " ".join(w + "###" for w in prose(rng, 100).split())) for i in range(30)]
+    got = {r.doc_id: r for r in assess(docs_frame(spark, rows)).collect()}
+    assert {i for i, r in got.items() if r.kept} == {*range(80), 200}
+    assert 0.5 < got[200].quality_probability < min(got[i].quality_probability for i in range(80))
+
+
 # ---- HTML
 
 
