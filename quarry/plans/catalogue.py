@@ -326,6 +326,32 @@ def reachable_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graphs.reachable(edges, edges.agg(F.min("src").alias("node"))).select("node")
 
 
+_ALL_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst FROM lineitem)"
+
+
+def _all_edges(spark: SparkSession, d: str) -> DataFrame:
+    most = table(spark, d, "supplier").agg(F.max("s_suppkey").alias("most"))
+    return table(spark, d, "lineitem").join(F.broadcast(most)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("most") + 1).alias("dst")).distinct()
+
+
+@query(f"WITH RECURSIVE {_ALL_EDGES}, t AS (SELECT src AS node FROM e WHERE src = (SELECT min(src) FROM e) UNION SELECT dst FROM t JOIN e ON node = src) SELECT node FROM t")
+def reachable_nodes_all(spark: SparkSession, d: str) -> DataFrame:
+    """G3 over all of lineitem."""
+    from quarry.shared import written
+
+    edges = written(_all_edges(spark, d))
+    return graphs.reachable(edges, edges.agg(F.min("src").alias("node"))).select("node")
+
+
+@query(f"WITH {_ALL_EDGES}, o AS (SELECT DISTINCT src AS root, dst AS node FROM e) SELECT root, node FROM o UNION SELECT root, dst FROM o JOIN e ON node = src")
+def depth2_reach_all(spark: SparkSession, d: str) -> DataFrame:
+    """G8, G9 over all of lineitem."""
+    from quarry.shared import written
+
+    edges = written(_all_edges(spark, d))
+    return graphs.within_two(edges, edges.select(F.col("src").alias("node")))
+
+
 @query(f"WITH {_EDGES}, o AS (SELECT DISTINCT src AS root, dst AS node FROM e) SELECT root, node FROM o UNION SELECT root, dst FROM o JOIN e ON node = src")
 def depth2_reach(spark: SparkSession, d: str) -> DataFrame:
     """What is at most two edges away."""
