@@ -167,6 +167,14 @@ def repo_summary(spark: SparkSession, d: str) -> DataFrame:
     return store.summaries(table(spark, d, "customer").select("c_custkey", "c_name"), recent, "c_custkey", ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
 
 
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+    SELECT c_custkey, c_name, coalesce(n, 0) AS n_children, o_orderkey, o_orderstatus FROM customer LEFT JOIN x ON c_custkey = o_custkey AND r = 1""")
+def repo_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    """J23, A29 over all orders."""
+    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return store.summaries(table(spark, d, "customer").select("c_custkey", "c_name"), orders, "c_custkey", ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
+
+
 @query("""SELECT o_orderkey, c_name, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation)
     ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40""")
 def owned_reviews_page(spark: SparkSession, d: str) -> DataFrame:
@@ -371,6 +379,17 @@ def layer_cycles(spark: SparkSession, d: str) -> DataFrame:
     return graphs.mutual_pairs(flows)
 
 
+@query("""WITH f AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+    GROUP BY 1, 2 HAVING count(*) >= 14) SELECT a.src AS a, a.dst AS b FROM f AS a JOIN f AS b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""")
+def layer_cycles_all(spark: SparkSession, d: str) -> DataFrame:
+    """A25 over all orders."""
+    flows = (
+        table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).count().where("count >= 14")
+    )
+    return graphs.mutual_pairs(flows)
+
+
 @query("""SELECT l_partkey, l_suppkey, count(*) AS reads FROM (SELECT l_partkey, l_suppkey, nullif(l_returnflag, 'N') AS v FROM lineitem) GROUP BY 1, 2
     HAVING count(DISTINCT coalesce(v, '<none>')) > 1 AND count(v) > 0""")
 def divergent_defaults(spark: SparkSession, d: str) -> DataFrame:
