@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-A text block (a line; for templates of ``LONG`` distinct words or more also a paragraph of several lines) matches a template
-if it holds at least ``threshold`` of the template's distinct words. The words of all templates are ordered by how often the
+A text block matches a template if it holds at least ``threshold`` of the template's distinct words. Blocks are lines; for templates
+of ``LONG`` distinct words or more also paragraphs of several lines; for shorter ones, whose words any long paragraph holds, also
+runs of adjacent lines where the words on both sides of every line break are words of the template, as in a wrapped notice, and so
+of at most as many lines as it has words. The words of all templates are ordered by how often the
 corpus uses them, rarest first. A match must share one of a template's first t - a + 1 words in that order (a: words it must
 share at least), so only these are indexed; a block must have a words of the vocabulary (length filter), and after the first
 common word enough must be left on both sides (positional filter). What passes is verified word by word.
@@ -10,6 +12,7 @@ common word enough must be left on both sides (positional filter). What passes i
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +50,6 @@ def _split(lowered: Column) -> Column:
 
 
 def template_words(text: str) -> list[str]:
-    import re
-
     return list(dict.fromkeys(w for w in re.split(BETWEEN, text.lower()) if w))
 
 
@@ -74,7 +75,7 @@ def _base(docs: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """(__id, __dh, label, block, containment) of every distinct document (columns __id, __dh, __t), block and template that match.
-    Blocks count from 0: lines first, then paragraphs. Runs one word count; at most one row for each template word reaches the driver."""
+    Blocks count from 0: lines first, then paragraphs, then runs of lines by their first line. Runs one word count; at most one row for each template word reaches the driver."""
     spark = docs.sparkSession
     sets = [(n, label, template_words(text)) for n, (label, text) in enumerate(templates)]
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
@@ -83,11 +84,13 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thres
     often = {r["w"]: r["count"] for r in used}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
 
-    index, wanted = [], []
+    index, wanted, wrapped = [], [], []
     for n, label, ws in sets:
         ordered, need = sorted(ws, key=rank.get), math.ceil(threshold * len(ws) - 1e-9)
         index += [(rank[w], n, i, len(ws), need) for i, w in enumerate(ordered[: len(ws) - need + 1])]
         wanted.append((n, label, sorted(rank[w] for w in ws), len(ws)))
+        if len(ws) < LONG:
+            wrapped.append((n, len([w for w in re.split(BETWEEN, templates[n][1].lower()) if w])))
     first_words = sorted({w for w, r in rank.items() if any(r == x[0] for x in index)})
     rows = lambda names, values: spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(names, v, strict=True)]) for v in values])))
     prefixes = rows(("rank", "template", "i", "t", "need"), index)
@@ -103,7 +106,30 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thres
     spread = ranked.select("__id", "__dh", "block", "long", "ranks", F.size("ranks").alias("b"), F.posexplode("ranks").alias("j", "rank"))
     candidates = spread.join(F.broadcast(prefixes), "rank").where((F.col("b") >= F.col("need")) & (1 + F.least(F.col("t") - F.col("i") - 1, F.col("b") - F.col("j") - 1) >= F.col("need")) & (~F.col("long") | (F.col("t") >= LONG)))
     verified = candidates.join(F.broadcast(sought), "template").withColumn("shared", F.size(F.array_intersect("ranks", "t_ranks"))).where("shared >= need")
-    return verified.select("__id", "__dh", "label", "block", (F.col("shared") / F.col("size")).alias("containment")).distinct()
+    chosen = ["__id", "__dh", "label", "block", (F.col("shared") / F.col("size")).alias("containment")]
+    if not wrapped:
+        return verified.select(*chosen).distinct()
+
+    # A run from each line: the following lines, cut for each template at the first line break that does not stand between words of it.
+    short, most = {n for n, _ in wrapped}, max(m for _, m in wrapped)
+    starts = sorted({x[0] for x in index if x[1] in short})
+    lined = F.transform(F.split("low", "\n"), lambda x: F.transform(_split(x), lambda w: F.coalesce(F.element_at(ranks, w), F.lit(-1))))
+    n_blocks = F.size(F.split("low", "\n")) + F.size(F.filter(F.split("low", r"\n[ \t\r]*\n"), lambda x: F.contains(x, F.lit("\n"))))
+    held = near.where(F.contains("low", F.lit("\n"))).select("__id", "__dh", n_blocks.alias("n_blocks"), lined.alias("held"))
+    runs = held.select("__id", "__dh", "n_blocks", "held", F.posexplode("held").alias("at", "first")).where((F.get("first", F.size("first") - 1) >= 0) & (F.get(F.get("held", F.col("at") + 1), F.lit(0)) >= 0)).select("__id", "__dh", (F.col("n_blocks") + F.col("at")).alias("block"), F.slice("held", F.col("at") + 1, most).alias("run"))
+    met = runs.select("*", F.explode(F.filter(F.array_distinct(F.flatten("run")), lambda r: r.isin(starts))).alias("rank")).join(F.broadcast(prefixes), "rank").select("__id", "__dh", "block", "run", "template").distinct()
+    lengths = rows(("template", "most"), wrapped)
+    sized = met.join(F.broadcast(sought.join(lengths, "template")), "template").join(F.broadcast(prefixes.select("template", "need").distinct()), "template")
+    nothing = F.struct(F.array().cast("array<int>").alias("found"), F.lit(True).alias("open"))
+    ours = lambda r: F.coalesce(F.array_contains("t_ranks", r), F.lit(False))
+
+    def add(acc: Column, line: Column) -> Column:
+        joins = acc["open"] & ((F.size(acc["found"]) == 0) | ours(F.get(line, F.lit(0))))
+        more = F.array_union(acc["found"], F.array_intersect(line, F.col("t_ranks")))
+        return F.struct(F.when(joins, more).otherwise(acc["found"]).alias("found"), (joins & ours(F.get(line, F.size(line) - 1))).alias("open"))
+
+    folded = sized.withColumn("shared", F.size(F.aggregate(F.slice("run", F.lit(1), F.col("most")), nothing, add)["found"])).where("shared >= need")
+    return verified.select(*chosen).unionByName(folded.select(*chosen)).distinct()
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:

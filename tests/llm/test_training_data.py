@@ -388,6 +388,18 @@ def test_licenses_against_brute_force(spark, texts):
     assert by[23][1] == 0 and by[23][3] is None and scan(docs_frame(spark, [])).count() == 0
 
 
+def test_short_notices_wrapped_over_lines(spark):
+    from quarry.llm.licenses import scan
+
+    unlicense = "This is free and unencumbered software released into the public domain"
+    rows = [
+        (1, "intro\nLicensed under CC\nBY-NC 4.0\nmore"), (2, unlicense.replace(" ", "\n")), (3, "# Licensed under the\r\n# Apache License,\r\n# Version 2.0"), (4, "Released under the\n MIT License."),
+        (5, "Licensed under CC\n\nBY-NC 4.0"), (6, "Licensed by nc\nother words\nunder cc 4.0"), (7, "Licensed under\nCC BY"), (1, "intro\nLicensed under CC\nBY-NC 4.0\nmore"),
+    ]
+    got = sorted((r.doc_id, r.labels, r.score) for r in scan(docs_frame(spark, rows)).collect())
+    assert got == [(1, "cc-by-nc", 1.0), (1, "cc-by-nc", 1.0), (2, "unlicense", 1.0), (3, "apache", 1.0), (4, "mit", 1.0), (5, "", 0.0), (6, "", 0.0), (7, "", 0.0)]
+
+
 # ---- pipeline
 
 
