@@ -27,7 +27,9 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "select", "object", "canvas"}
+RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe"}
+#: Elements whose text is left out, up to their closing tag or their parent's end.
+HELD = {"svg", "math", "select", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 SECTIONS = ("article", "main", "nav", "header", "footer", "aside", "form", "section", "head", "dialog", "figure")
@@ -99,11 +101,12 @@ def blocks(page: str | None) -> list[Block]:
             if m[0].startswith("<![CDATA["):
                 say(m[0][9:-3])
             continue
+        held = next((i for i, (t, _) in enumerate(stack) if t in HELD), len(stack)) if hidden else len(stack)
         if m["close"] or m["close2"]:
-            if tag not in INLINE:
-                flush()
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and (tag not in INLINE or all(t in INLINE for t, _ in stack[depth:])):
+            if tag not in INLINE and tag not in HELD and (held == len(stack) or 0 <= depth < held):
+                flush()
+            if depth >= 0 and (tag not in INLINE or all(t in INLINE for t, _ in stack[depth:held])):
                 hidden -= sum(w.startswith("\0") for _, w in stack[depth:])
                 del stack[depth:]
             continue
@@ -114,17 +117,25 @@ def blocks(page: str | None) -> list[Block]:
         if tag == "br":
             say(" ")
             continue
+        attrs = m["attrs"] or m["attrs2"] or ""
+        if tag in HELD:
+            if not (tag in ("svg", "math") and attrs.endswith("/")):
+                stack.append((tag, "\0"))
+                hidden += 1
+            continue
         if tag not in INLINE:
-            flush()
+            if held == len(stack):
+                flush()
             closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}.get(tag, ()) + ("p",)
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in closes:
+                    if i < held < len(stack):
+                        flush()
                     hidden -= sum(w.startswith("\0") for _, w in stack[i:])
                     del stack[i:]
                     break
-                if stack[i][0] not in INLINE and stack[i][0] not in ("p", "div") or stack[i][0] == "div" and tag != "body":
+                if stack[i][0] not in INLINE and stack[i][0] not in ("p", "div") and not (stack[i][0] in ("svg", "math") and (tag in SECTIONS or tag in TAGS)) or stack[i][0] == "div" and tag != "body":
                     break
-        attrs = m["attrs"] or m["attrs2"] or ""
         if tag in VOID or attrs.endswith("/") and tag not in INLINE and tag not in ("p", "div"):
             continue
         words, gone = "", False

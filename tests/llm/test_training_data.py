@@ -109,6 +109,16 @@ def test_html_crf_held_out_and_cases(spark):
     assert len(rows) == 5 and [r.text for r in rows if r.page_id == 2] == [""] and all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_html_svg_ends_where_it_ends():
+    from quarry.llm.html_crf import blocks
+
+    texts = lambda page: [b[0] for b in blocks(page)]
+    assert texts('<p>One <svg class="icon"/>two</p><p>three <math/>four</p>') == ["One two", "three four"]
+    assert texts("<p>One <svg><path d='x'/><text>no</text></svg>two</p>") == ["One two"]
+    assert texts("<div><p>One <svg><g>no</p><p>two</p></div><p>three</p>") == ["One", "two", "three"]
+    assert texts("<p><a>One<canvas>no</a> two</p><div>a<select><option>no<option>no</div><div>b<object>no</div>c") == ["One two", "a", "b", "c"]
+
+
 # ---- packing
 
 
