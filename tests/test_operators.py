@@ -322,3 +322,11 @@ def test_flask_and_class_routes(spark):
     tree = written(python_ast.nodes(spark.createDataFrame([("m.py", src)], "path string, text string")))
     assert {(r.method, r.path) for r in routes.blueprint_routes(tree).collect()} == {("GET", "/api/items/{id}"), ("POST", "/api/items/{id}"), ("GET", "/")}
     assert {(r.method, r.endpoint, r.handler) for r in python_ast.class_endpoints(tree).collect()} == {("GET", "/v", "V"), ("DELETE", "/v", "V")}
+
+
+def test_one_bad_line_does_not_lose_the_file():
+    src = 'import os\ndef f():\n    x = = 1\n    return os.getenv("A")\ndef g():\n    try:\n        f()\n    except A, B:\n        pass\n'
+    rows = python_ast.parse("m.py", src)
+    assert {(r["kind"], r["name"], r["line"]) for r in rows if r["kind"] in ("function", "env_read")} == {("function", "f", 2), ("env_read", "A", 4), ("function", "g", 5)}
+    assert [r["kind"] for r in rows if r["kind"] == "error"] == ["error"]
+    assert not [r for r in python_ast.parse("m.py", src.replace("x = = 1", "x = 1")) if r["kind"] == "error"]
