@@ -5,7 +5,7 @@ least number of sequences, over all configurations (multisets of lengths that fi
 often as it occurs. Multiplicative weights solve it: each length has a price; a knapsack dynamic program over the capacity finds
 the best-priced filling of every remainder, hence the best configuration through each length; these take a share of the round;
 lengths covered less than their due get dearer by a factor, the others cheaper. Rounding: each configuration's share is rounded
-down and what is left over, a number bounded by that of configurations, is packed best-fit decreasing.
+down and what is left over, a number bounded by that of configurations, is solved again (see ``plan``).
 
 Pieces find their place without a join on the plan: a piece's rank among those of its length, counted within salted parts and
 shifted by the parts' sums, selects the slot.
@@ -85,8 +85,8 @@ def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]
     return best, take
 
 
-def plan(counts: dict[int, int], capacity: int, rounds: int = 24, rate: float = 1.0) -> tuple[Counter, float]:
-    """(pattern -> sequences, lower bound of the linear program) for a histogram of lengths from 1 to capacity."""
+def solve(counts: dict[int, int], capacity: int, rounds: int = 24, rate: float = 1.0) -> tuple[Counter, float]:
+    """(configuration -> share, lower bound) of the linear program for a histogram of lengths from 1 to capacity."""
     need = np.zeros(capacity + 1)
     for length, n in counts.items():
         need[length] = n
@@ -116,17 +116,86 @@ def plan(counts: dict[int, int], capacity: int, rounds: int = 24, rate: float =
             shares[tuple(sorted(pattern.items(), reverse=True))] += amount
         ratio = covered[lengths] / due[lengths]
         price[lengths] *= np.exp(rate / done * np.clip(1 - ratio, -1, 1))
+    return shares, bound
 
-    left, out = dict(counts), Counter()
-    tight = sorted(shares.items(), key=lambda x: (capacity - sum(k * a for k, a in x[0]), -x[1], x[0]))
-    for pattern, share in tight:
-        n = min(int(share), *(left[k] // a for k, a in pattern))
-        if n > 0:
-            out[pattern] += n
-            for k, a in pattern:
-                left[k] -= n * a
-    out.update(best_fit(left, capacity))
-    return out, bound
+
+class Stock:
+    """Pieces left by length, with a bit for each length that is left."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.left = {k: n for k, n in counts.items() if n > 0}
+        self.bits = sum(1 << k for k in self.left)
+
+    def use(self, pattern: Pattern, n: int) -> None:
+        for k, a in pattern:
+            self.left[k] -= n * a
+            if not self.left[k]:
+                del self.left[k]
+                self.bits ^= 1 << k
+
+    def fits(self, pattern: Pattern) -> int:
+        return min(self.left.get(k, 0) // a for k, a in pattern)
+
+    def topped_up(self, pattern: Pattern, capacity: int) -> Pattern:
+        """What is left of a configuration's pieces, and others that fill the room: one or two of just its size, or else the longest and so on."""
+        held = {k: min(a, self.left[k]) for k, a in pattern if k in self.left}
+        room, bits = capacity - sum(k * a for k, a in held.items()), self.bits
+        for k, a in held.items():
+            if a == self.left[k]:
+                bits ^= 1 << k
+
+        def add(k: int) -> None:
+            nonlocal room, bits
+            held[k] = held.get(k, 0) + 1
+            room -= k
+            if held[k] == self.left[k]:
+                bits ^= 1 << k
+
+        while low := bits & ((2 << room) - 2):
+            longest = low.bit_length() - 1
+            if longest < room:
+                first = longest
+                while 2 * first >= room and not bits >> (room - first) & 1:
+                    low ^= 1 << first
+                    first = low.bit_length() - 1
+                if 2 * first > room or 2 * first == room and self.left[first] > held.get(first, 0) + 1:
+                    longest = first
+            add(longest)
+        return tuple(sorted(held.items(), reverse=True))
+
+
+def plan(counts: dict[int, int], capacity: int, rounds: int = 24, again: int = 6) -> tuple[Counter, float]:
+    """(pattern -> sequences, lower bound of the linear program) for a histogram of lengths.
+
+    Shares are rounded down; then, longest pieces first, each configuration gives one sequence more, pieces that it lacks replaced by
+    others that fill its room. What is left is solved again, in ``again`` rounds. Only configurations that leave little room take part: none
+    at first, and more each time that nothing came of it, up to the whole sequence; so all pieces get their place. Of the ways to end
+    after each round of this, that with the remnant packed best-fit included, the one with the fewest sequences counts.
+    """
+    stock, out, lowest, spare = Stock(counts), Counter(), 0.0, 0
+    best: tuple[int, Counter] | None = None
+    waste = lambda pattern: capacity - sum(k * a for k, a in pattern)
+    while stock.left:
+        shares, bound = solve(stock.left, capacity, again if lowest else rounds)
+        lowest, before = lowest or bound, sum(out.values())
+        ordered = sorted(shares.items(), reverse=True)
+        for pattern, share in ordered:
+            if share >= 1 and waste(pattern) <= spare and (n := min(int(share), stock.fits(pattern))) > 0:
+                out[pattern] += n
+                stock.use(pattern, n)
+        for pattern, _ in ordered:
+            filled = stock.topped_up(pattern, capacity)
+            if filled and waste(filled) <= spare:
+                out[filled] += 1
+                stock.use(filled, 1)
+        if sum(out.values()) == before:
+            spare = min(capacity, 2 * spare + 1)
+        ended = out + best_fit(stock.left, capacity)
+        if best is None or sum(ended.values()) < best[0]:
+            best = sum(ended.values()), ended
+        if best[0] <= lowest + 1 - 1e-9:
+            break  # no plan has fewer
+    return best[1] if best else out, lowest
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str, text: str, end_id: int = 0, with_ids: bool = False) -> DataFrame:
