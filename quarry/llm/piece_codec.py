@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding with an Aho-Corasick automaton over the pieces.
 
 One pass over the characters keeps the automaton's state; at each position the output links name every piece that ends there, and
-each relaxes the position's best entry. For unigram models ("sum") the entry is the best sum of scores. For merge models ("merge")
-sums of scores do not give the model's segmentation, so a candidate counts only if it may follow the piece that ends where it
-starts: merging the two pieces' text by the model's ranks must give just these two. Exactly one piece passes at every position, and
-what results is the model's own encoding. Characters without a piece become byte pieces.
+each relaxes the position's best score, a sum of piece scores. For unigram models ("sum") that is all. For merge models ("merge")
+sums of scores alone do not give the model's segmentation, so a candidate relaxes only if it may follow the piece that ends where it
+starts: merging the two pieces' text by the model's ranks must give just these two. What results is the model's own encoding.
+Characters without a piece become byte pieces.
 
 No piece holds a space mark after another character, so texts are encoded by chunk (space marks and what follows), through a bounded memo.
 """
@@ -26,6 +26,8 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Chunks and piece pairs that a worker's memos hold, about; they are emptied then.
 MEMO = 500_000
+#: The score of a position that no piece reaches yet, and what a character without a piece costs.
+NEVER, UNKNOWN = float("-inf"), 1e6
 
 
 class Automaton:
@@ -56,6 +58,17 @@ class Automaton:
                 queue.append(to)
             suffix = self.fail[at]
             self.link[at] = suffix if self.piece[suffix] >= 0 else self.link[suffix]
+        self.depth = {number: len(text) for text, number in pieces.items()}
+        self.outputs: list[tuple | None] = [None] * len(self.child)
+
+    def link_outputs(self, state: int) -> tuple:
+        """(piece, length) of all pieces that end in a state, longest first, by its output links."""
+        found, at = [], state if self.piece[state] >= 0 else self.link[state]
+        while at:
+            found.append((self.piece[at], self.depth[self.piece[at]]))
+            at = self.link[at]
+        self.outputs[state] = tuple(found)
+        return self.outputs[state]
 
 
 class PieceCodec:
@@ -72,8 +85,7 @@ class PieceCodec:
         self.number = {t: i for i, t in enumerate(self.text) if i not in control}
         self.automaton, self.sum = Automaton(self.number), scores == "sum"
         self.raw = [bytes([int(self.text[i][3:5], 16)]) if model.is_byte(i) else b"" if i in control else self.text[i].replace(MARK, " ").encode() for i in range(n)]
-        self.size = [len(t) for t in self.text]
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -90,40 +102,36 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _may_follow(self, before: int, piece: int) -> bool:
-        key = (before, piece)
+        key = before * len(self.text) + piece
         found = self.follows.get(key)
         if found is None:
             if len(self.follows) > 2 * MEMO:
                 self.follows.clear()
-            pair = [self.text[i] for i in key if i >= 0]
+            pair = [self.text[i] for i in (before, piece) if i >= 0]
             found = self.follows[key] = self.merged("".join(pair)) == pair
         return found
 
     def chunk(self, text: str) -> list[int]:
-        """Ids of one run of text by the single pass."""
-        a, state = self.automaton, 0
-        child, fail, link, piece = a.child, a.fail, a.link, a.piece
-        size = self.size
+        """Ids of one run of text by the single pass: at every position all pieces that end there relax its best score."""
+        a, state, score, many = self.automaton, 0, self.score, len(self.text)
+        child, fail, outputs, follows = a.child, a.fail, a.outputs, self.follows
         last, best, start = [-1], [0.0], [0]
         for i, ch in enumerate(text, 1):
             while state and ch not in child[state]:
                 state = fail[state]
             state = child[state].get(ch, 0)
-            found, value, begin = -2, float("-inf"), i - 1
-            at = state if piece[state] >= 0 else link[state]
-            while at:
-                number = piece[at]
-                j = i - size[number]
-                if self.sum:
-                    if best[j] + self.score[number] > value:
-                        found, value, begin = number, best[j] + self.score[number], j
-                elif self._may_follow(last[j] if last[j] >= 0 else -1, number):
-                    found, begin = number, j
-                    break
-                at = link[at]
+            found, value, begin = -1, NEVER, i - 1
+            for number, size in outputs[state] or a.link_outputs(state):
+                j = i - size
+                if best[j] + score[number] > value:
+                    if not self.sum:
+                        may = follows.get(last[j] * many + number)
+                        if not (self._may_follow(last[j], number) if may is None else may):
+                            continue
+                    found, value, begin = number, best[j] + score[number], j
             last.append(found)
             start.append(begin)
-            best.append(value if found >= 0 else best[i - 1] - 1e6)
+            best.append(value if found >= 0 else best[i - 1] - UNKNOWN)
         out, i = [], len(text)
         while i:
             if last[i] >= 0:
