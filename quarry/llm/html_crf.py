@@ -28,6 +28,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe"}
+END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 #: Elements whose text is left out, up to their closing tag or their parent's end.
 HELD = {"svg", "math", "select", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -110,14 +111,19 @@ def blocks(page: str | None) -> list[Block]:
                 hidden -= sum(w.startswith("\0") for _, w in stack[depth:])
                 del stack[depth:]
             continue
+        attrs = m["attrs"] or m["attrs2"] or ""
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(page, at) if tag != "noscript" else re.compile(r"</noscript\s*>|\Z", re.I).search(page, at)
-            at = end.end()
-            continue
+            if attrs.endswith("/") and tag not in ("script", "style"):
+                continue
+            closed = END[tag].search(page, at)
+            if closed:
+                at = closed.end()
+            elif tag in ("script", "style"):
+                break  # code to the end of the page
+            continue  # any other without an end is empty
         if tag == "br":
             say(" ")
             continue
-        attrs = m["attrs"] or m["attrs2"] or ""
         if tag in HELD:
             if not (tag in ("svg", "math") and attrs.endswith("/")):
                 stack.append((tag, "\0"))
@@ -138,13 +144,11 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if tag in VOID or attrs.endswith("/") and tag not in INLINE and tag not in ("p", "div"):
             continue
-        words, gone = "", False
+        words = ""
         if attrs.strip(" /\n\t"):
             found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attrs)}
             words = " ".join(found[k] for k in ("class", "id", "role", "itemprop", "aria-label") if found.get(k))
-            gone = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
-        stack.append((tag, ("\0" if gone else "") + words))
-        hidden += gone
+        stack.append((tag, words))
     flush()
     return out
 
