@@ -264,13 +264,13 @@ def pack_pieces(scratch: Scratch, pieces: DataFrame, order: list[str], capacity:
     return ask.mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, with_ids: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A null or empty text is the one id ``end_id``. Null doc_ids and repeated rows are packed like any others; other columns are
     ignored; an empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "packing")
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
     plain = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__t"))
     pieces = scratch.keep(tokenized_pieces(plain, tokenizer, capacity, "__id", "__t", end_id, with_ids))
     return pack_pieces(scratch, pieces, ["__id", "piece", "ids_crc32"], capacity).withColumnRenamed("__id", doc_id)

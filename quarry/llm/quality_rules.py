@@ -158,9 +158,9 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
     return judge(scratch.keep(with_measures(docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__t")), "__t", ["__id"]))).withColumnRenamed("__id", doc_id)
 
 
-def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs that stay, unchanged."""
-    scratch = Scratch(docs.sparkSession, "rules-keep")
+    scratch = scratch or Scratch(docs.sparkSession, "rules-keep")
     names = docs.columns
     plain = docs.toDF(*[f"d{i}" for i in range(len(names))])
     at = names.index(text)

@@ -2,9 +2,9 @@
 
 A line that starts with '>' marks (blanks between them allowed) is quoted, as deep as it has marks. Adjacent lines of one depth form a
 passage. Passages and the messages' own texts are normalised (lower case, white space to one space), cut into units (the whole,
-and each line) and hashed. Quoted units are joined to own units of earlier turns of the same conversation; of several messages
+each line, and each sentence whatever its line breaks) and hashed. Quoted units are joined to own units of earlier turns of the same conversation; of several messages
 that hold a unit the earliest is its original. A message replies to the original of its shallowest, then whole before line, then first
-linked unit; without one it starts a thread. Threads are followed to their roots by pointer doubling over written tables, and
+linked unit; whole comes before line before sentence; without one it starts a thread. Threads are followed to their roots by pointer doubling over written tables, and
 messages are numbered in reply order: threads by the turn of their root, each in the order of turns, where a reply always
 follows what it answers.
 """
@@ -14,12 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import Scratch, global_order
+from quarry.llm.shared import Scratch, global_order, join_spread
 
 MARKS = r"^[ \t]*(>[> \t]*)"
 #: A line that announces a quotation, if a deeper line follows it.
 INTRO = r"^\s*(?:On\b.*\bwrote|Am\b.*\bschrieb.*|Le\b.*\ba écrit\s?|El\b.*\bescribió)\s?:\s*$"
 SPACE = r"\s+"
+SENTENCE = r"(?<=[.!?]) "
+#: Words that a quoted line or sentence has at least to be sought alone; shorter ones ("Thanks!") say nothing of their origin.
+LEAST = 3
 
 
 def _plain(text: Column) -> Column:
@@ -48,22 +51,24 @@ def _own(lines: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """array<struct<level, bodies>>: adjacent lines of one depth, quoted ones only."""
-    start = F.array().cast("array<struct<level:int,bodies:array<string>>>")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(last["bodies"], F.array(x["body"])).alias("bodies"))))
-        return F.when((F.size(done) > 0) & (last["level"] == x["level"]), grown).otherwise(F.concat(done, F.array(F.struct(x["level"].alias("level"), F.array(x["body"]).alias("bodies")))))
-
-    return F.filter(F.aggregate(lines, start, add), lambda p: p["level"] > 0)
-
-
-def _units(bodies: Column) -> Column:
-    """array<struct<part, hash>>: the whole (part 0) and each line (part 1), normalised; empty ones left out."""
-    whole = F.array(F.struct(F.lit(0).alias("part"), _plain(F.array_join(bodies, " ")).alias("t")))
+    """array<struct<level, bodies>>: adjacent lines of one depth, quoted ones only, cut out between the places where the depth turns."""
+    turns = lambda x, i: (i == 0) | (F.get(lines, i - 1)["level"] != x["level"])
+    starts = F.array_compact(F.transform(lines, lambda x, i: F.when(turns(x, i), i)))
+    stops = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines)))
+    quoted = F.filter(F.arrays_zip(starts.alias("at"), stops.alias("upto")), lambda r: F.get(lines, r["at"])["level"] > 0)
+    cut = lambda r: F.slice(lines, r["at"] + 1, r["upto"] - r["at"])
+    return F.transform(quoted, lambda r: F.struct(F.get(lines, r["at"])["level"].alias("level"), F.transform(cut(r), lambda x: x["body"]).alias("bodies")))
+
+
+def _units(bodies: Column, least: int = 0) -> Column:
+    """array<struct<part, hash>>: the whole (part 0), each line (part 1) and each sentence of the whole (part 2), normalised; empty
+    ones left out, and lines and sentences of fewer than ``least`` words."""
+    joined = _plain(F.array_join(bodies, " "))
+    whole = F.array(F.struct(F.lit(0).alias("part"), joined.alias("t")))
     each = F.transform(bodies, lambda x: F.struct(F.lit(1).alias("part"), _plain(x).alias("t")))
-    return F.transform(F.filter(F.concat(whole, each), lambda u: u["t"] != ""), lambda u: F.struct(u["part"].alias("part"), F.sha2(u["t"], 256).alias("hash")))
+    sentences = F.transform(F.split(joined, SENTENCE), lambda x: F.struct(F.lit(2).alias("part"), x.alias("t")))
+    enough = lambda u: (u["t"] != "") & ((u["part"] == 0) | (F.size(F.split(u["t"], " ")) >= least))
+    return F.transform(F.filter(F.concat(whole, each, sentences), enough), lambda u: F.struct(u["part"].alias("part"), F.sha2(u["t"], 256).alias("hash")))
 
 
 def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -82,7 +87,7 @@ def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     parsed = scratch.keep(split.select("conv", "turn", "role", "key", _own(F.col("lines")).alias("own"), F.when(quoted, _passages(F.col("lines"))).otherwise(F.array().cast("array<struct<level:int,bodies:array<string>>>")).alias("passages")))
 
     quoting = parsed.where(F.size("passages") > 0).where("conv is not null and turn is not null").select("conv", "turn", "key", F.posexplode("passages").alias("passage", "p"))
-    sought = quoting.select("conv", "turn", "key", "passage", F.col("p.level").alias("level"), F.posexplode(_units(F.col("p.bodies"))).alias("at", "u")).select("conv", "turn", "key", "passage", "level", "at", "u.part", "u.hash").distinct()
+    sought = quoting.select("conv", "turn", "key", "passage", F.col("p.level").alias("level"), F.posexplode(_units(F.col("p.bodies"), LEAST)).alias("at", "u")).select("conv", "turn", "key", "passage", "level", "at", "u.part", "u.hash").distinct()
     asked = scratch.keep(sought)
     links = None
     if asked.isEmpty():
@@ -104,8 +109,9 @@ def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
             .select("conv", "turn", "role", "own_text", "n_passages", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn", F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"))
         )
     ordered = global_order(scratch, rows, ["conv", "root_turn", "turn", "role", "own_text"])
-    first = ordered.groupBy("conv").agg(F.min("ord").alias("first"))
-    placed = ordered.join(first.withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c"))).withColumn("position", F.col("ord") - F.col("first"))
+    keyed = ordered.withColumn("known", F.struct("conv"))  # a struct is never null
+    first = keyed.groupBy("known").agg(F.min("ord").alias("first"))
+    placed = join_spread(scratch, keyed, first, ["known"]).withColumn("position", F.col("ord") - F.col("first"))
     return placed.select(F.col("conv").alias(conv_id), F.col("turn").alias(turn), F.col("role").alias(role), "own_text", "n_passages", "n_linked", "parent_turn", "root_turn", "depth", "position")
 
 

@@ -15,29 +15,27 @@ WHITE = " \t\n\r\x0b\x0c"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("quarry.shared.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir; in local mode a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.shared.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.shared.dir", root)
     return root.rstrip("/")
 
 
 class Scratch:
-    """Written tables in the shared folder. A table survives lost executors and cuts the lineage."""
-
-    #: All scratch spaces of this driver, in the order they were opened.
-    opened: list[Scratch] = []
+    """Written tables in the shared folder. A table survives lost executors and cuts the lineage. Operators delete the tables that
+    their results do not read; the rest goes with ``clear``, by whoever wrote the results elsewhere, or with the shared folder."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.home, self.made = spark, f"{shared_root(spark)}/quarry/{label}-{uuid.uuid4().hex}", 0
-        Scratch.opened.append(self)
+        self.name = f"{label}-{uuid.uuid4().hex}"
+        self.spark, self.home, self.paths = spark, f"{shared_root(spark)}/quarry/{self.name}", []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.made += 1
-        path = f"{self.home}/{self.made}"
+        path = f"{self.home}/{len(self.paths) + 1}"
+        self.paths.append(path)
         conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = conf.get(key, "false")
         conf.set(key, "true")  # the written table stands in for the shuffles that made it
@@ -53,11 +51,21 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def holds(self, df: DataFrame) -> bool:
+        return getattr(df, "_scratch_path", None) in self.paths
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of this scratch space that no later plan reads."""
         for df in frames:
             self._delete(df._scratch_path)
 
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        """Delete all tables but these, which are all that the result reads."""
+        read = {df._scratch_path for df in frames}
+        for path in self.paths:
+            if path not in read:
+                self._delete(path)
+
     def clear(self) -> None:
         """Delete all of it, once what was made from it has been written elsewhere."""
         self._delete(self.home)
@@ -109,6 +117,18 @@ def map_rows(df: DataFrame, text: str, made: list[tuple[str, T.DataType]], rows:
     return out.toDF(*carry, *[name for name, _ in made])
 
 
+def join_spread(scratch: Scratch, left: DataFrame, right: DataFrame, on: list[str], least: int = 2_000) -> DataFrame:
+    """Inner join with a right side that has one row a key. Keys that hold more than a ten-thousandth of the left rows (so at most
+    10,000; none below ``least`` rows) meet by a broadcast, the others by a shuffle: no task gets a whole common key."""
+    often = max(least, left.count() // 10_000)
+    common = scratch.keep(left.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > often).select(*on))
+    if common.isEmpty():
+        return left.join(right, on)
+    few = F.broadcast(common)
+    hot = left.join(F.broadcast(right.join(few, on, "left_semi")), on)
+    return hot.unionByName(left.join(few, on, "left_anti").join(right.join(few, on, "left_anti"), on))
+
+
 def global_order(scratch: Scratch, df: DataFrame, by: list[str]) -> DataFrame:
     """df, written, with ord: the rank from 0 of each row in the order of ``by`` (nulls last), by range partitions and their sizes."""
     keys = [k for c in by for k in (F.col(c).isNull(), F.col(c))]

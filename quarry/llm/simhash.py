@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.components import components
-from quarry.llm.shared import Scratch, map_rows
+from quarry.llm.shared import Scratch, join_spread, map_rows
 
 BITS = 64
 SEED = 42
@@ -152,19 +152,23 @@ def _with_components(scratch: Scratch, prints: DataFrame, doc_id: str, radius: i
     rooted = least.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = scratch.keep(rooted.join(best, "root").select("fp", "component_id"))
-    return prints.join(by_fp, "fp")
+    scratch.drop_all_but(prints, by_fp)
+    return join_spread(scratch, prints, by_fp, ["fp"])
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """The columns of docs, one row of every group of near-duplicates: the one of the least doc_id (null last), and
     of rows that share it the first in the order of the input's partitions."""
-    scratch = Scratch(docs.sparkSession, "simhash-keep")
-    columns = docs.columns
-    numbered = scratch.keep(add_fingerprints(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__copy", F.col(f"`{text}`")), "__copy", [*columns, "__row"], "__fp"))
-    prints = numbered.select("__row", F.col("__fp").alias("fp"), F.col(f"`{doc_id}`").alias("__id"))
+    scratch = scratch or Scratch(docs.sparkSession, "simhash-keep")
+    names = docs.columns
+    plain = docs.toDF(*[f"d{i}" for i in range(len(names))])
+    at = {n: f"d{i}" for i, n in enumerate(names)}
+    numbered = scratch.keep(add_fingerprints(plain.withColumn("__row", F.monotonically_increasing_id()).withColumn("__copy", F.col(at[text])), "__copy", [*plain.columns, "__row"], "__fp"))
+    prints = numbered.select("__row", F.col("__fp").alias("fp"), F.col(at[doc_id]).alias("__id"))
     rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
     least = scratch.keep(prints.groupBy("fp").agg(F.min(rank).alias("least")))
     found = components(scratch, links(scratch, least.select("fp"), radius), "a", "b")
     rooted = least.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").select(*[f"`{c}`" for c in columns])
+    kept = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row")))
+    scratch.drop_all_but(numbered, kept)
+    return numbered.join(kept, "__row", "left_semi").select(*[F.col(c).alias(n) for n, c in at.items()])

@@ -9,12 +9,17 @@ occurrences; every occurrence but the first is a repeated span, the whole path l
 their source coordinates. As counts are equal along a path, a verified path holds all occurrences of its edges. Should a path
 fail (counts were equal by chance, or hashes collided), its edges are taken one by one and verified again.
 
-Window hashes have 64 bits. A collision can only leave a repeated window in place; what is removed has been verified.
-Places are one number: rank of the document in the order of (doc_id, text hash), nulls last, times 2^24, plus the word position.
+Window hashes have 64 bits, so verification may also find windows that only share a hash; all occurrences of such a hash are grouped
+again, by a 128-bit digest of their words. Places are one number: rank of the document in the order of (doc_id, text digest), nulls last,
+times 2^bits, plus the word position; bits: 24, or more if a text has that many words.
+
+A window that is very common is one path that very many places hold. Hashes with more than a ten-thousandth of all places (so at most
+10,000 of them) meet their places by a broadcast, all others by a shuffle on the hash.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from functools import lru_cache
 
@@ -26,8 +31,8 @@ from pyspark.sql import types as T
 
 from quarry.llm.shared import Scratch, global_order, map_rows, release_memos
 
-#: Words a text may have at most, as places are numbered.
-PLACES = 1 << 24
+#: The least number of bits for a word's position, and of places for a window to be dealt with as common.
+BITS, COMMON = 24, 20_000
 GRAM = 8
 BASE = 0x9E3779B97F4A7C15
 WHITE = np.zeros(256, bool)
@@ -90,25 +95,23 @@ def _least(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, _slide(grams, k - min(GRAM, k) + 1, np.minimum)
 
 
-def anchors(text: str | None, k: int) -> np.ndarray:
-    """Grams that are the least of some window, once for each place."""
+def anchors(text: str | None, k: int) -> tuple[int, np.ndarray]:
+    """(words, grams that are the least of some window, once for each place)."""
     codes = _codes(text) if text else np.zeros(0, np.uint64)
     if len(codes) < k:
-        return np.zeros(0, np.int64)
-    if len(codes) >= PLACES:
-        raise ValueError(f"a text has {len(codes)} words; places are numbered up to {PLACES}")
+        return len(codes), np.zeros(0, np.int64)
     grams, least = _least(codes, k)
     width = k - min(GRAM, k) + 1
     around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    return grams[_slide(around, width, np.maximum) == grams].view(np.int64)
+    return len(codes), grams[_slide(around, width, np.maximum) == grams].view(np.int64)
 
 
-def edges(text: str, k: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def edges(text: str, k: int, repeated: np.ndarray, hash_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(place, hash) of the windows whose least gram is among ``repeated``."""
     codes = _codes(text)
     _, least = _least(codes, k)
     at = np.flatnonzero(np.isin(least.view(np.int64), repeated))
-    return at, _grams(codes, k).view(np.int64)[at]
+    return at, (_grams(codes, k)[at] >> np.uint64(64 - hash_bits)).view(np.int64)
 
 
 def removed_mask(n_words: int, spans: list[tuple[int, int]], k: int) -> np.ndarray:
@@ -130,16 +133,17 @@ def _same(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(b, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__dh") == F.col("__dh2")), how).drop("__id2", "__dh2")
 
 
-def repeated_spans(scratch: Scratch, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From columns __id, __dh, __text: (spans: at, windows, source; edges: at, h; documents: __id, __dh, ord)."""
+def repeated_spans(scratch: Scratch, docs: DataFrame, k: int, bits: int = BITS, hash_bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """From columns __id, __dh, __text: (spans: at, windows, source; edges: at, h; documents: __id, __dh, ord; bits of a position)."""
     import pyarrow as pa
 
     def mark(texts: list) -> list:
-        found = [anchors(t, k) for t in texts]
+        sizes, found = zip(*[anchors(t, k) for t in texts]) if texts else ((), ())
         stops = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))]
+        return [list(sizes), pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))]
 
-    marked = scratch.keep(map_rows(docs, "__text", [("anchors", T.ArrayType(T.LongType()))], mark, ["__id", "__dh"]).where(F.size("anchors") > 0))
+    marked = scratch.keep(map_rows(docs, "__text", [("size", T.LongType()), ("anchors", T.ArrayType(T.LongType()))], mark, ["__id", "__dh"]).where(F.size("anchors") > 0))
+    bits = max(bits, int(marked.agg(F.max("size")).first()[0] or 0).bit_length())
     often = marked.select(F.explode("anchors").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     shared = marked.select("__id", "__dh", F.explode(F.array_distinct("anchors")).alias("g")).join(often.hint("shuffle_hash"), "g")
     listed = scratch.keep(shared.groupBy("__id", "__dh").agg(F.collect_list("g").alias("grams")))
@@ -153,8 +157,8 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, k: int) -> tuple[DataFrame
             values, stops = grams.values.to_numpy(zero_copy_only=False), grams.offsets.to_numpy()
             parts, size = ([], []), 0
             for i in range(len(texts)):
-                at, h = edges(texts[i].as_py(), k, values[stops[i] : stops[i + 1]])
-                parts[0].append(at + ords[i] * PLACES)
+                at, h = edges(texts[i].as_py(), k, values[stops[i] : stops[i + 1]], hash_bits)
+                parts[0].append(at + (ords[i] << bits))
                 parts[1].append(h)
                 size += len(at)
                 if size > 200_000 or i == len(texts) - 1:
@@ -165,14 +169,14 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, k: int) -> tuple[DataFrame
     scratch.drop(listed)
 
     grouped = _grouped(found)
-    here = Window.partitionBy(F.shiftright("source", 24)).orderBy("source")
+    here = Window.partitionBy(F.shiftright("source", bits)).orderBy("source")
     goes_on = lambda step, move: F.coalesce((move("source").over(here) == F.col("source") + step) & (move("n").over(here) == F.col("n")) & (move("last").over(here) == F.col("last") + step), F.lit(False))
     ends = grouped.withColumn("head", ~goes_on(-1, F.lag)).withColumn("tail", ~goes_on(1, F.lead)).where("head or tail")
     windows = F.when(F.col("tail"), 1).otherwise(F.lead("source").over(here) - F.col("source") + 1).cast("int")
-    paths = scratch.keep(ends.withColumn("windows", windows).where("head").select("h", "source", "windows"))
+    paths = scratch.keep(ends.withColumn("windows", windows).where("head").select("h", "source", "windows", "n"))
     spans = scratch.keep(_occurrences(found, paths))
     scratch.drop(paths)
-    return spans, found, order
+    return spans, found, order, bits
 
 
 def _grouped(found: DataFrame) -> DataFrame:
@@ -180,16 +184,25 @@ def _grouped(found: DataFrame) -> DataFrame:
 
 
 def _occurrences(found: DataFrame, paths: DataFrame) -> DataFrame:
-    return found.join(paths.hint("shuffle_hash"), "h").where("at > source").select("at", "windows", "source").distinct()
+    """The places of the paths' first edges (h, source, windows, n: places) but for the sources."""
+    often = F.lit(max(COMMON, found.count() // 10_000))
+    common, held = paths.where(F.col("n") > often), found
+    out = []
+    if not common.isEmpty():
+        out.append(found.join(F.broadcast(common), "h"))  # at most 10,000 rows
+        held = found.join(F.broadcast(common.select("h").distinct()), "h", "left_anti")
+        paths = paths.where(F.col("n") <= often)
+    out.append(held.join(paths.hint("shuffle_hash"), "h"))
+    return functools.reduce(DataFrame.unionByName, [x.where("at > source").select("at", "windows", "source") for x in out]).distinct()
 
 
 def _digest(words: list[bytes], at: int, n: int) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words[at : at + n]))
 
 
-def _single_digests(scratch: Scratch, plain: DataFrame, order: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+def _single_digests(scratch: Scratch, plain: DataFrame, order: DataFrame, sources: DataFrame, k: int, bits: int) -> DataFrame:
     """(source, windows, original): digests of spans at their source coordinates."""
-    asked = sources.groupBy(F.shiftright("source", 24).alias("ord")).agg(F.collect_list(F.struct("source", "windows")).alias("asked")).join(order, "ord").drop("ord")
+    asked = sources.groupBy(F.shiftright("source", bits).alias("ord")).agg(F.collect_list(F.struct("source", "windows")).alias("asked")).join(order, "ord").drop("ord")
     texts = _same(plain.select("__id", "__dh", "__text"), asked, "inner").select("asked", "__text")
 
     def rows(batches):
@@ -199,29 +212,29 @@ def _single_digests(scratch: Scratch, plain: DataFrame, order: DataFrame, source
             out = []
             for asked, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _words(t)
-                out += [(x["source"], x["windows"], _digest(words, x["source"] % PLACES, x["windows"] + k - 1)) for x in asked]
+                out += [(x["source"], x["windows"], _digest(words, x["source"] & (1 << bits) - 1, x["windows"] + k - 1)) for x in asked]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["source", "windows", "original"])
 
     return scratch.keep(texts.mapInArrow(rows, "source long, windows int, original binary").distinct())
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 20, carry: list[str] | None = None, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 20, carry: list[str] | None = None, with_text: bool = True, bits: int = BITS, hash_bits: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """The columns of ``carry`` (doc_id, if None) and n_words, n_removed, kept_sha256 and, if asked for, kept_text of every row.
 
     Words covered by a window of k words that also starts earlier (a smaller doc_id, null last, or earlier in the same document) go;
     the rest is joined by one space. Null and empty texts have no words; texts of fewer than k words lose none. Rows that share
-    doc_id and text are one document and get the same result; rows that share only doc_id are ordered by a hash of the text. Columns
-    not carried are ignored. An empty table gives no rows.
+    doc_id and text are one document and get the same result; rows that share only doc_id are ordered by a digest of the text. Columns
+    not carried are ignored. An empty table gives no rows. ``hash_bits``: bits of a window hash that count; results are the same for any.
     """
-    scratch = Scratch(docs.sparkSession, "substring")
+    scratch = scratch or Scratch(docs.sparkSession, "substring")
     carry = [doc_id] if carry is None else carry
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carry)], F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"), F.xxhash64(F.col(f"`{text}`")).alias("__dh"))
-    spans, found, order = repeated_spans(scratch, plain.select("__id", "__dh", "__text"), k)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carry)], F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__dh"))
+    spans, found, order, bits = repeated_spans(scratch, plain.select("__id", "__dh", "__text"), k, bits, hash_bits)
     kept = [f"k{i}" for i in range(len(carry))]
 
     def finish(plain: DataFrame, spans: DataFrame) -> DataFrame:
-        by_doc = spans.groupBy(F.shiftright("at", 24).alias("ord")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit(PLACES - 1)).cast("int").alias("at"), "windows", "source")).alias("spans"))
-        sources = spans.select("source", "windows").distinct().groupBy(F.shiftright("source", 24).alias("ord")).agg(F.collect_list(F.struct("source", "windows")).alias("sources"))
+        by_doc = spans.groupBy(F.shiftright("at", bits).alias("ord")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("at"), "windows", "source")).alias("spans"))
+        sources = spans.select("source", "windows").distinct().groupBy(F.shiftright("source", bits).alias("ord")).agg(F.collect_list(F.struct("source", "windows")).alias("sources"))
         asked = by_doc.join(sources, "ord", "full").join(order, "ord").drop("ord")
         joined = _same(plain, asked, "left").select(*kept, "__id", "__dh", "spans", "sources", "__text")
         check = "array<struct<source: bigint, windows: int, digest: binary>>"
@@ -246,7 +259,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     out[1].append(int(gone.sum()))
                     out[2].append(hashlib.sha256(left).hexdigest())
                     out[3].append(left.decode("utf-8", "replace") if with_text else None)
-                    out[4].append([(s["source"], s["windows"], _digest(words, s["source"] % PLACES, s["windows"] + k - 1)) for s in own or ()])
+                    out[4].append([(s["source"], s["windows"], _digest(words, s["source"] & (1 << bits) - 1, s["windows"] + k - 1)) for s in own or ()])
                     out[5].append([(s["source"], s["windows"], _digest(words, s["at"], s["windows"] + k - 1)) for s in found or ()])
                 out[4:] = [[[dict(zip(("source", "windows", "digest"), x, strict=True)) for x in cell] for cell in column] for column in out[4:]]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, kind) for c, kind in zip(out, kinds, strict=True))], names=schema.names)
@@ -262,19 +275,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     false = false_of(done)
     if not false.isEmpty():  # the documents of those paths again, edge by edge; what collides even so is not removed
         one_by_one = false.select(F.explode(F.sequence("source", F.col("source") + F.col("windows") - 1)).alias("source")).distinct()
-        single = _grouped(found).join(one_by_one, "source").select("h", "source", F.lit(1).alias("windows"))
+        single = _grouped(found).join(one_by_one, "source").select("h", "source", F.lit(1).alias("windows"), "n")
         singles = scratch.keep(_occurrences(found, single))
+        checked = _single_digests(scratch, plain, order, singles.select("source", "windows").union(singles.select("at", "windows")).distinct(), k, bits)
+        told = checked.select(F.col("source").alias("at"), F.col("original").alias("digest"))
+        collided = scratch.keep(singles.join(told, "at").join(checked, ["source", "windows"]).where("digest <> original").select("source").distinct())
+        if not collided.isEmpty():  # places of one hash with different words: grouped by these
+            all_of = singles.join(collided, "source", "left_semi")
+            places = all_of.select("source", "at").union(collided.select("source", F.col("source").alias("at"))).join(told, "at")
+            parted = places.join(places.groupBy("source", "digest").agg(F.min("at").alias("least")), ["source", "digest"]).where("at > least").select("at", F.lit(1).alias("windows"), F.col("least").alias("source"))
+            singles = scratch.keep(singles.join(collided, "source", "left_anti").select("at", "windows", "source").union(parted).distinct())
         wrong = spans.join(false, ["source", "windows"], "left_semi")
-        ords = scratch.keep(wrong.select("at").union(singles.select("at")).select(F.shiftright("at", 24).alias("ord")).distinct())
+        ords = scratch.keep(wrong.select("at").union(singles.select("at")).select(F.shiftright("at", bits).alias("ord")).distinct())
         touched = scratch.keep(order.join(ords, "ord").select("__id", "__dh"))
-        mine = spans.join(false, ["source", "windows"], "left_anti").unionByName(singles).withColumn("ord", F.shiftright("at", 24)).join(ords, "ord", "left_semi").drop("ord")
-        sources = singles.select("source", "windows").distinct()
-        again = finish(_same(plain, touched, "left_semi"), mine)
-        checked = _single_digests(scratch, plain, order, sources, k)
-        used = again.select(F.explode("used").alias("s")).select("s.source", "s.windows", "s.digest").join(checked, ["source", "windows"])
-        collided = scratch.keep(used.where("digest <> original").select("source", "windows").distinct())
-        if not collided.isEmpty():
-            again = finish(_same(plain, touched, "left_semi"), scratch.keep(mine.join(collided, ["source", "windows"], "left_anti")))
-        done = _same(done, touched, "left_anti").unionByName(again)
+        mine = spans.join(false, ["source", "windows"], "left_anti").unionByName(singles).withColumn("ord", F.shiftright("at", bits)).join(ords, "ord", "left_semi").drop("ord")
+        again = finish(_same(plain, touched, "left_semi"), scratch.keep(mine))
+        done = scratch.keep(_same(done, touched, "left_anti").unionByName(again))
+    scratch.drop_all_but(done)
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(carry)], *names)
