@@ -48,15 +48,13 @@ def chain_roots(links: DataFrame, child: str, parent: str) -> DataFrame:
     return now.join(on_chain, F.col("root") == F.col("__c"), "left_anti")
 
 
-def closure_with(edges: DataFrame, roots: DataFrame, facts: DataFrame, rounds: int = 32) -> DataFrame:
+def closure_with(edges: DataFrame, roots: DataFrame, facts: DataFrame) -> DataFrame:
     """(root, any_verified, any_shared, identities): facts (node, verified, shared, identity array) joined over all that a root depends on."""
     pairs = written(roots.select(F.col("node").alias("root"), F.col("node")).distinct())
     frontier = pairs
-    for _ in range(rounds):
+    while not frontier.isEmpty():
         step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         frontier = written(step.join(pairs, ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
         pairs = written(pairs.union(frontier))
     known = pairs.join(facts, "node")
     return known.groupBy("root").agg(F.bool_or("verified").alias("any_verified"), F.bool_or("shared").alias("any_shared"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("identity")))).alias("identities"))

@@ -77,7 +77,9 @@ def distinct_sets(sets: DataFrame, ident: str, terms: str) -> DataFrame:
 
 def absent(dimension: DataFrame, corpus: DataFrame, pattern: str, text: str) -> DataFrame:
     """Rows of a (small, fixed) rule dimension whose pattern matches no text. One pass; matches are aggregated per rule, not emitted."""
-    rules = dimension.collect()
+    rules = dimension.limit(1001).collect()
+    if len(rules) > 1000:
+        raise ValueError("each rule is a column of the one pass over the corpus; give at most 1000")
     hits = corpus.agg(*[F.coalesce(F.bool_or(F.col(text).rlike(r[pattern])), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)])
     flat = hits.select(F.explode(F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in dimension.columns], F.col(f"r{i}").alias("hit")) for i, r in enumerate(rules)])).alias("x"))
     return flat.where("not x.hit").select(*[f"x.{c}" for c in dimension.columns])

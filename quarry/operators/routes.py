@@ -12,8 +12,8 @@ from quarry.shared import written
 # Names that verify a user token, shared keys, identities, paging parameters.
 TOKEN_VERIFY = r"jwt\.decode|decode_access_token|decode_token|verify_token|verify_jwt|OAuth2PasswordBearer|HTTPBearer|HTTPAuthorizationCredentials|get_current_user|get_current_active_user|firebase_admin\.auth|verify_id_token"
 API_KEY_NAME = r"(?i)api[_-]?key"
-IDENTITY = r"(?i)^(user|owner|account|member|customer|tenant|org|employee|client|author|profile)_?(id|name|email|uuid)$|^email$|^username$"
-PAGING = r"(?i)^(limit|offset|page|page_size|per_page|cursor|skip|take|size)$"
+IDENTITY = r"(?i)(^|[_-])(user|email|e_?mail|owner|role|tenant|account|org|uid|username|created_by|requester|actor)([_-]|$)"
+PAGING = r"(?i)^(limit|offset|page|page_size|per_page|skip|cursor|size|top|take|pagination|paging)$"
 
 
 def _text(column: str, key: str) -> Column:
@@ -57,6 +57,9 @@ def prefix_chains(known: DataFrame, includes: DataFrame, depth: int = 6) -> Data
 
 def routes(tree: DataFrame) -> DataFrame:
     """method, path, handler, file, line, dependencies, identity_inputs, user_token_verified, shared_key, accepts_upload, paginated, auth, flags."""
+    from quarry.operators.detectors import with_dependency_aliases
+
+    tree = with_dependency_aliases(tree)
     known = written(routers(tree))
     chains = prefix_chains(known, include_edges(tree, known))
     var = F.element_at(F.split("qualname", r"\."), 1)

@@ -20,9 +20,9 @@ def insert_ignore(stored: DataFrame, new: DataFrame, keys: list[str], order: lis
 
 
 def partial_update(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """stored with the non-null values of changes (one row a key, columns of stored)."""
+    """stored with the non-null values of changes (columns of stored); of several rows a key the greatest value of each column counts."""
     changed = [c for c in changes.columns if c != key]
-    renamed = changes.select(key, *[F.col(c).alias(f"__{c}") for c in changed])
+    renamed = changes.groupBy(key).agg(*[F.max(c).alias(f"__{c}") for c in changed])
     return stored.join(renamed, key, "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in changed else F.col(c) for c in stored.columns])
 
 
@@ -52,11 +52,13 @@ TRANSITIONS = {"pending": ["running", "failed", "skipped"], "running": ["complet
 
 
 def move_status(reviews: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Applies (key, new_status) where the transition is allowed; adds accepted (null: no change asked for)."""
+    """Applies (key, new_status) where the transition is allowed; adds accepted (null: no change asked for). Several changes of one key are one
+    that is refused: in what order they came is not known."""
     allowed = F.lit(False)
     for before, after in TRANSITIONS.items():
         allowed = allowed | ((F.col("status") == before) & F.col("new_status").isin(after or ["-"]))
-    joined = reviews.join(changes, key, "left")
+    one = changes.groupBy(key).agg(F.when(F.countDistinct("new_status") > 1, "-").otherwise(F.max("new_status")).alias("new_status"))
+    joined = reviews.join(one, key, "left")
     return joined.withColumn("accepted", F.when(F.col("new_status").isNotNull(), allowed)).withColumn("status", F.when(allowed, F.col("new_status")).otherwise(F.col("status"))).drop("new_status")
 
 

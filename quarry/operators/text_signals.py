@@ -47,13 +47,13 @@ def absent_lockfiles(files: DataFrame) -> DataFrame:
 
 def duplicate_families(dependencies: DataFrame, families: DataFrame) -> DataFrame:
     """(source_file, family, members): two or more packages of one family declared in one file."""
-    met = dependencies.join(F.broadcast(families), "package")
+    met = dependencies.join(families, "package")
     return met.groupBy("source_file", "family").agg(F.array_sort(F.collect_set("package")).alias("members")).where(F.size("members") > 1)
 
 
 def unused_dependencies(dependencies: DataFrame, imports: DataFrame, aliases: DataFrame) -> DataFrame:
     """Declared packages that no file imports, by the import name an alias gives or the name itself."""
-    named = dependencies.join(F.broadcast(aliases), "package", "left").withColumn("module", F.coalesce("module", F.replace("package", F.lit("-"), F.lit("_"))))
+    named = dependencies.join(aliases, "package", "left").withColumn("module", F.coalesce("module", F.replace("package", F.lit("-"), F.lit("_"))))
     used = imports.select(F.element_at(F.split("name", r"\."), 1).alias("module")).where("module <> ''").distinct()
     return named.join(used, "module", "left_anti").select("package", "source_file")
 

@@ -158,19 +158,10 @@ def latest_per_repo(spark: SparkSession, d: str) -> DataFrame:
     return windows.latest_by(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
 
 
-@query(f"""WITH o AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '{SINCE}'), x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM o),
-    n AS (SELECT o_custkey, count(*) AS n FROM o GROUP BY 1)
-    SELECT c_custkey, c_name, coalesce(n, 0) AS n_children, o_orderkey, o_orderstatus FROM customer LEFT JOIN n ON c_custkey = n.o_custkey LEFT JOIN x ON c_custkey = x.o_custkey AND r = 1""")
-def repo_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Every repository with its latest review and review count."""
-    recent = table(spark, d, "orders").where(F.col("o_orderdate") >= F.lit(SINCE).cast("timestamp_ntz")).withColumnRenamed("o_custkey", "c_custkey")
-    return store.summaries(table(spark, d, "customer").select("c_custkey", "c_name"), recent, "c_custkey", ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
-
-
 @query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
     SELECT c_custkey, c_name, coalesce(n, 0) AS n_children, o_orderkey, o_orderstatus FROM customer LEFT JOIN x ON c_custkey = o_custkey AND r = 1""")
-def repo_summary_all(spark: SparkSession, d: str) -> DataFrame:
-    """J23, A29 over all orders."""
+def repo_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Every repository with its latest review and review count."""
     orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
     return store.summaries(table(spark, d, "customer").select("c_custkey", "c_name"), orders, "c_custkey", ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
 
@@ -265,13 +256,18 @@ def interval_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}'), lambda w: NOT list_contains([{', '.join(map(quoted, S.STOP_WORDS))}], w)))) AS terms FROM documents),
     g AS (SELECT min(doc_id) AS doc_id, terms FROM t WHERE len(terms) > 0 GROUP BY terms)
+    SELECT first AS a, doc_id AS b, 1.0 AS similarity FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY terms) AS first FROM t WHERE len(terms) > 0) WHERE doc_id <> first UNION ALL
     SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.terms, b.terms)) / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))), 6) AS similarity
     FROM g AS a JOIN g AS b ON a.doc_id < b.doc_id AND least(len(a.terms), len(b.terms)) >= 0.7 * greatest(len(a.terms), len(b.terms)) - 1e-9
     WHERE len(list_intersect(a.terms, b.terms)) / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))) >= 0.7""")
 def title_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of texts with similar words, between the first of each group of equal word sets."""
+    """Pairs of texts with similar words, between the first of each group of equal word sets; and of each text of such a group with that first one."""
+    from quarry.shared import written
+
     terms = table(spark, d, "documents").select("doc_id", S.title_terms(F.col("text")).alias("terms"))
-    return joins.similar_sets(joins.distinct_sets(terms, "doc_id", "terms"), "doc_id", "terms", 0.7).withColumn("similarity", F.round("similarity", 6))
+    first = written(joins.distinct_sets(terms, "doc_id", "terms"))
+    equal = terms.where(F.size("terms") > 0).join(first.where("members > 1").select("terms", F.col("doc_id").alias("a")), "terms").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return joins.similar_sets(first, "doc_id", "terms", 0.7).withColumn("similarity", F.round("similarity", 6)).unionByName(equal)
 
 
 def _severity(column: str = "o_orderpriority") -> Column:
@@ -316,13 +312,12 @@ def route_match_anti(spark: SparkSession, d: str) -> DataFrame:
     return joins.match_routes(paths.select(S.client_path(F.col("path")).alias("path")).distinct(), routes, "path", "route")
 
 
-_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.05 AND l_returnflag = 'R' AND l_linenumber = 1)"
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst FROM lineitem)"
 
 
-def _sparse_edges(spark: SparkSession, d: str) -> DataFrame:
+def _edges(spark: SparkSession, d: str) -> DataFrame:
     most = table(spark, d, "supplier").agg(F.max("s_suppkey").alias("most"))
-    rows = table(spark, d, "lineitem").where("l_quantity >= 49 and l_discount >= 0.05 and l_returnflag = 'R' and l_linenumber = 1")
-    return rows.join(F.broadcast(most)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("most") + 1).alias("dst")).distinct()
+    return table(spark, d, "lineitem").join(F.broadcast(most)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("most") + 1).alias("dst")).distinct()
 
 
 @query(f"WITH RECURSIVE {_EDGES}, t AS (SELECT src AS node FROM e WHERE src = (SELECT min(src) FROM e) UNION SELECT dst FROM t JOIN e ON node = src) SELECT node FROM t")
@@ -330,59 +325,23 @@ def reachable_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Everything reached from the roots."""
     from quarry.shared import written
 
-    edges = written(_sparse_edges(spark, d))
+    edges = written(_edges(spark, d))
     return graphs.reachable(edges, edges.agg(F.min("src").alias("node"))).select("node")
 
 
-_ALL_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst FROM lineitem)"
-
-
-def _all_edges(spark: SparkSession, d: str) -> DataFrame:
-    most = table(spark, d, "supplier").agg(F.max("s_suppkey").alias("most"))
-    return table(spark, d, "lineitem").join(F.broadcast(most)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("most") + 1).alias("dst")).distinct()
-
-
-@query(f"WITH RECURSIVE {_ALL_EDGES}, t AS (SELECT src AS node FROM e WHERE src = (SELECT min(src) FROM e) UNION SELECT dst FROM t JOIN e ON node = src) SELECT node FROM t")
-def reachable_nodes_all(spark: SparkSession, d: str) -> DataFrame:
-    """G3 over all of lineitem."""
-    from quarry.shared import written
-
-    edges = written(_all_edges(spark, d))
-    return graphs.reachable(edges, edges.agg(F.min("src").alias("node"))).select("node")
-
-
-@query(f"WITH {_ALL_EDGES}, o AS (SELECT DISTINCT src AS root, dst AS node FROM e) SELECT root, node FROM o UNION SELECT root, dst FROM o JOIN e ON node = src")
-def depth2_reach_all(spark: SparkSession, d: str) -> DataFrame:
-    """G8, G9 over all of lineitem."""
-    from quarry.shared import written
-
-    edges = written(_all_edges(spark, d))
-    return graphs.within_two(edges, edges.select(F.col("src").alias("node")))
-
-
 @query(f"WITH {_EDGES}, o AS (SELECT DISTINCT src AS root, dst AS node FROM e) SELECT root, node FROM o UNION SELECT root, dst FROM o JOIN e ON node = src")
 def depth2_reach(spark: SparkSession, d: str) -> DataFrame:
     """What is at most two edges away."""
-    edges = _sparse_edges(spark, d)
-    return graphs.within_two(edges, edges.select(F.col("src").alias("node")))
-
+    from quarry.shared import written
 
-@query(f"""WITH f AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE o_orderdate >= TIMESTAMP '{SINCE}' GROUP BY 1, 2 HAVING count(*) >= 14) SELECT a.src AS a, a.dst AS b FROM f AS a JOIN f AS b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""")
-def layer_cycles(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of layers that depend on each other."""
-    recent = table(spark, d, "orders").where(F.col("o_orderdate") >= F.lit(SINCE).cast("timestamp_ntz"))
-    flows = (
-        table(spark, d, "lineitem").join(recent, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).count().where("count >= 14")
-    )
-    return graphs.mutual_pairs(flows)
+    edges = written(_edges(spark, d))
+    return graphs.within_two(edges, edges.select(F.col("src").alias("node")))
 
 
 @query("""WITH f AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
     GROUP BY 1, 2 HAVING count(*) >= 14) SELECT a.src AS a, a.dst AS b FROM f AS a JOIN f AS b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""")
-def layer_cycles_all(spark: SparkSession, d: str) -> DataFrame:
-    """A25 over all orders."""
+def layer_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of layers that depend on each other."""
     flows = (
         table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).count().where("count >= 14")

@@ -87,7 +87,7 @@ def open_leads(leads: DataFrame, spans: DataFrame, dismissed: DataFrame, any_lan
 
 def kpi_leads(findings: DataFrame, mapping: DataFrame) -> DataFrame:
     """(kpi, id, file, line): tool findings of rules that a KPI asks about, by the last part of the rule's name."""
-    return findings.withColumn("rule", F.element_at(F.split("category", r"\."), -1)).join(F.broadcast(mapping), "rule").select(F.explode("kpis").alias("kpi"), "id", "file", "line")
+    return findings.withColumn("rule", F.element_at(F.split("category", r"\."), -1)).join(mapping, "rule").select(F.explode("kpis").alias("kpi"), "id", "file", "line")
 
 
 def clone_sizes(findings: DataFrame) -> DataFrame:

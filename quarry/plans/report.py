@@ -16,7 +16,7 @@ def assemble(findings: DataFrame, floor: str = "medium") -> DataFrame:
 def numbered_sections(findings: DataFrame, categories: DataFrame) -> DataFrame:
     """Adds section: place of the category . rank by severity, then finding number. A category is one lane of one review (capped)."""
     order = Window.partitionBy("category").orderBy(rank_of(F.col("severity"), SEVERITIES), F.regexp_extract("id", r"(\d+)$", 1).try_cast("int"), "id")
-    return findings.join(F.broadcast(categories), "category").withColumn("section", F.concat_ws(".", F.col("place").cast("string"), F.row_number().over(order).cast("string")))
+    return findings.join(categories, "category").withColumn("section", F.concat_ws(".", F.col("place").cast("string"), F.row_number().over(order).cast("string")))
 
 
 def issues_summary(findings: DataFrame) -> DataFrame:

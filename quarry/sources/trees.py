@@ -57,12 +57,21 @@ def list_tree(root: str, timeout: float = 30.0) -> tuple[list[tuple[str, int]],
 
 
 def scan_tree(spark: SparkSession, root: str, max_bytes: int = 2_000_000, timeout: float = 30.0, partitions: int = 32) -> DataFrame:
-    """(path, language, size_bytes, lines, skipped_due_to_size, text) of the files below a folder that driver and executors share.
+    """The files of ``scan``, all of them: raises TimeoutError if the walk ran out of time."""
+    files, _, ran_out = scan(spark, root, max_bytes, timeout, partitions)
+    if ran_out:
+        raise TimeoutError(f"{root}: not walked within {timeout} s")
+    return files
+
+
+def scan(spark: SparkSession, root: str, max_bytes: int = 2_000_000, timeout: float = 30.0, partitions: int = 32) -> tuple[DataFrame, DataFrame, bool]:
+    """((path, language, size_bytes, lines, skipped_due_to_size, text) of the files below a folder that driver and executors share; (folder, error)
+    of folders that could not be read; whether the walk ran out of time, so that files are missing).
 
     Sensitive environment files are left out before anything is opened. Text is null for oversize and unreadable files; a BOM is dropped,
     undecodable bytes become replacement characters.
     """
-    listed, _, _ = list_tree(root, timeout)
+    listed, unreadable, ran_out = list_tree(root, timeout)
     paths = spark.createDataFrame(listed, "path string, size_bytes long").where(~sensitive(F.col("path"))).repartition(min(partitions, max(1, len(listed))))
 
     def read(batches):
@@ -78,7 +87,8 @@ def scan_tree(spark: SparkSession, root: str, max_bytes: int = 2_000_000, timeou
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["path", "size_bytes", "text"])
 
     found = paths.mapInArrow(read, "path string, size_bytes long, text string")
-    return found.select("path", language(F.col("path")).alias("language"), "size_bytes", line_count(F.col("text")).alias("lines"), (F.col("size_bytes") > max_bytes).alias("skipped_due_to_size"), "text")
+    files = found.select("path", language(F.col("path")).alias("language"), "size_bytes", line_count(F.col("text")).alias("lines"), (F.col("size_bytes") > max_bytes).alias("skipped_due_to_size"), "text")
+    return files, spark.createDataFrame(unreadable, "folder string, error string"), ran_out
 
 
 def surface(files: DataFrame) -> DataFrame:
