@@ -171,10 +171,12 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, k: int, bits: int = BITS,
     grouped = _grouped(found)
     here = Window.partitionBy(F.shiftright("source", bits)).orderBy("source")
     goes_on = lambda step, move: F.coalesce((move("source").over(here) == F.col("source") + step) & (move("n").over(here) == F.col("n")) & (move("last").over(here) == F.col("last") + step), F.lit(False))
-    ends = grouped.withColumn("head", ~goes_on(-1, F.lag)).withColumn("tail", ~goes_on(1, F.lead)).where("head or tail")
-    windows = F.when(F.col("tail"), 1).otherwise(F.lead("source").over(here) - F.col("source") + 1).cast("int")
-    paths = scratch.keep(ends.withColumn("windows", windows).where("head").select("h", "source", "windows", "n"))
-    spans = scratch.keep(_occurrences(found, paths))
+    often = _often(found)
+    ends = grouped.withColumn("head", ~goes_on(-1, F.lag)).withColumn("tail", ~goes_on(1, F.lead)).where((F.col("n") > often) | F.expr("head or tail"))
+    next_tail = F.expr(f"lead(case when tail then source end) ignore nulls over (partition by shiftright(source, {bits}) order by source)")
+    windows = F.when(F.col("tail"), 1).otherwise(next_tail - F.col("source") + 1).cast("int")
+    paths = scratch.keep(ends.withColumn("windows", windows).where((F.col("n") > often) | F.col("head")).select("h", "source", "windows", "n", "head"))
+    spans = scratch.keep(_occurrences(found, paths.where("head"), paths.where(F.col("n") > often)))
     scratch.drop(paths)
     return spans, found, order, bits
 
@@ -183,13 +185,16 @@ def _grouped(found: DataFrame) -> DataFrame:
     return found.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("source"), F.max("at").alias("last")).where("n > 1")
 
 
-def _occurrences(found: DataFrame, paths: DataFrame) -> DataFrame:
-    """The places of the paths' first edges (h, source, windows, n: places) but for the sources."""
-    often = F.lit(max(COMMON, found.count() // 10_000))
-    common, held = paths.where(F.col("n") > often), found
-    out = []
+def _often(found: DataFrame) -> int:
+    return max(COMMON, found.count() // 10_000)
+
+
+def _occurrences(found: DataFrame, paths: DataFrame, common: DataFrame) -> DataFrame:
+    """The places of the paths' first edges (h, source, windows, n: places) but for the sources. common: edges (h) with more than
+    ``_often`` places, be they first ones of a path or not; at most 10,000."""
+    often, held, out = _often(found), found, []
     if not common.isEmpty():
-        out.append(found.join(F.broadcast(common), "h"))  # at most 10,000 rows
+        out.append(found.join(F.broadcast(paths.where(F.col("n") > often)), "h"))
         held = found.join(F.broadcast(common.select("h").distinct()), "h", "left_anti")
         paths = paths.where(F.col("n") <= often)
     out.append(held.join(paths.hint("shuffle_hash"), "h"))
@@ -276,7 +281,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not false.isEmpty():  # the documents of those paths again, edge by edge; what collides even so is not removed
         one_by_one = false.select(F.explode(F.sequence("source", F.col("source") + F.col("windows") - 1)).alias("source")).distinct()
         single = _grouped(found).join(one_by_one, "source").select("h", "source", F.lit(1).alias("windows"), "n")
-        singles = scratch.keep(_occurrences(found, single))
+        singles = scratch.keep(_occurrences(found, single, single.where(F.col("n") > _often(found))))
         checked = _single_digests(scratch, plain, order, singles.select("source", "windows").union(singles.select("at", "windows")).distinct(), k, bits)
         told = checked.select(F.col("source").alias("at"), F.col("original").alias("digest"))
         collided = scratch.keep(singles.join(told, "at").join(checked, ["source", "windows"]).where("digest <> original").select("source").distinct())

@@ -337,7 +337,7 @@ def test_repeats_under_hash_collisions_and_long_places(spark):
     rows += [(50, passages[0] + " x " + passages[0]), (51, None), (52, ""), (None, passages[1]), (7, rows[7][1])]
     frame = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, n_words string, kept_sha256 string")
     want = sorted(map(str, brute_repeats(rows, 20)))
-    for hash_bits, bits in ((64, 24), (64, 3), (6, 24), (2, 5)):
+    for hash_bits, bits in ((64, 3), (6, 24), (2, 5)):
         got = [tuple(r) for r in remove_repeats(frame, with_text=False, hash_bits=hash_bits, bits=bits).collect()]
         assert sorted(map(str, got)) == want
 
@@ -394,3 +394,17 @@ def test_join_spread_keeps_all_rows(spark):
     want = sorted(map(tuple, left.join(right, ["k"]).collect()))
     for least in (10, 1000):
         assert sorted(map(tuple, join_spread(Scratch(spark, "t"), left, right, ["k"], least).collect())) == want
+
+
+def test_common_windows_meet_by_broadcast(spark, monkeypatch):
+    from test_training_data import brute_repeats
+    from quarry.llm import substring
+
+    monkeypatch.setattr(substring, "COMMON", 5)
+    rng = random.Random(22)
+    passage = prose(rng, 45, "")
+    rows = [(i, prose(rng, 30, "") + " " + passage + " " + prose(rng, 25, "")) for i in range(20)] + [(30, passage), (31, prose(rng, 60, "")), (32, prose(rng, 60, ""))]
+    rows.append((33, rows[-1][1]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in substring.remove_repeats(frame, with_text=False).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_repeats(rows, 20)))
