@@ -3,9 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; every stage but the last returns the columns
 of documents. run() writes each stage's result to the shared folder and reads it again for the next.
 
-Nulls, empty and repeated rows: null and empty texts fail the base limits of the first stage and go, as in every stage before the
-last they would be scored, linked or left unchanged like the empty text; null doc_ids stay; rows that share doc_id and text go through the
-first two stages alike, and near_dedup keeps one of them. Ties between copies go to the smaller doc_id. An empty table gives no rows.
+Null and empty texts fail the base limits of the first stage and go. Called alone, a later stage takes a null text for an empty one. Null
+doc_ids stay. Rows that share doc_id and text go through the first two stages alike, and near_dedup keeps one of them; of copies it keeps
+that of the least doc_id. An empty table gives no rows.
 Columns that documents does not have go along up to the last stage, whatever their names.
 """
 
