@@ -408,3 +408,27 @@ def test_common_windows_meet_by_broadcast(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in substring.remove_repeats(frame, with_text=False).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_repeats(rows, 20)))
+
+
+# ---- pipeline
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns go through every stage; so does an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(33)
+    texts = [prose(rng, 120) for _ in range(8)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (20, texts[2]), (None, texts[4]), (21, None), (22, ""), (23, "one")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_text string, n_words int, score double, __fp string, d0 int"
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, 0.5, "y", 2) for i, t in rows], schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for n, docs in (("some", frame), ("none", frame.where("false"))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            made = stage(spark, docs, str(tmp_path))
+            made.write.parquet(f"{tmp_path}/{n}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{n}{k}")
+            assert k == 4 or docs.columns == frame.columns
+        left = spark.read.parquet(f"{tmp_path}/{n}3")
+        assert left.count() == (8 if n == "some" else 0) and docs.count() >= left.count()
+        assert {r.doc_id for r in left.collect()} == (set(range(8)) if n == "some" else set())
