@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import filter_audit, licenses
+from quarry.llm import filter_audit, licenses, warc_store
 from quarry.llm.shared import table
 
 
@@ -76,6 +76,12 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.warc_store import archive
+
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.filter_audit import audit
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scans": op10_license_scans,
+    "op11_warc_archive": op11_warc_archive,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -105,4 +112,4 @@ TOPK = """
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
     SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5"""
 
-ORACLES: dict[str, str] = {"op4_exact_topk": TOPK, "op10_license_scans": licenses.oracle(), "op13_filter_audit": filter_audit.oracle()}
+ORACLES: dict[str, str] = {"op4_exact_topk": TOPK, "op10_license_scans": licenses.oracle(), "op11_warc_archive": warc_store.oracle(), "op13_filter_audit": filter_audit.oracle()}

@@ -59,6 +59,10 @@ class Scratch:
         for df in frames:
             self._delete(df._scratch_path)
 
+    def drop_path(self, path: str) -> None:
+        """Delete files that an operator has put under ``home`` itself."""
+        self._delete(path)
+
     def drop_all_but(self, *frames: DataFrame) -> None:
         """Delete all tables but these, which are all that the result reads."""
         read = {df._scratch_path for df in frames}
