@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import filter_audit, licenses, warc_store
+from quarry.llm import filter_audit, hard_negatives, licenses, warc_store
 from quarry.llm.shared import table
 
 
@@ -82,6 +82,13 @@ def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.hard_negatives import mine
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.filter_audit import audit
 
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scans": op10_license_scans,
     "op11_warc_archive": op11_warc_archive,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -112,4 +120,4 @@ TOPK = """
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
     SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5"""
 
-ORACLES: dict[str, str] = {"op4_exact_topk": TOPK, "op10_license_scans": licenses.oracle(), "op11_warc_archive": warc_store.oracle(), "op13_filter_audit": filter_audit.oracle()}
+ORACLES: dict[str, str] = {"op4_exact_topk": TOPK, "op10_license_scans": licenses.oracle(), "op11_warc_archive": warc_store.oracle(), "op12_hard_negatives": hard_negatives.oracle(), "op13_filter_audit": filter_audit.oracle()}

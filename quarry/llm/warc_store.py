@@ -212,7 +212,9 @@ def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     headers, payloads = store(spark, path, scratch)
     scratch.drop_path(path)
     whole = restore(headers, payloads, scratch)
-    return whole.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to")
+    result = scratch.keep(whole.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to"))
+    scratch.drop_all_but(result)
+    return result
 
 
 def oracle() -> str:
