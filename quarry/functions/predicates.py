@@ -69,7 +69,7 @@ def pipeline_file(path: Column) -> Column:
 
 
 def shown_default(key: Column, default: Column, required: Column) -> Column:
-    """What a report shows of a variable's default: never a secret itself. Quotes count towards the stored length."""
+    """What a report shows of a variable's default: never a secret itself. Quotes count towards the stored length. The phrases are fixed values."""
     from quarry.functions.scalars import secret_name
 
     masked = F.when(default.isin("''", '""'), "empty-string default").otherwise(F.concat(F.lit("HARD-CODED DEFAULT ("), (F.length(default) - 2).cast("string"), F.lit(" chars)")))

@@ -162,6 +162,7 @@ def env_files(files: DataFrame) -> DataFrame:
 
 def js_env_reads(files: DataFrame) -> DataFrame:
     """(file, line, key, fallback) of import.meta.env and process.env reads."""
+    # Fixed value: how scripts read variables, with a fallback.
     pattern = r"(?:import\.meta\.env|process\.env)\.([A-Z][A-Z0-9_]*)(?:\s*(?:\|\||\?\?)\s*(['\"`])(.*?)\2)?"
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).where(F.col("raw").rlike(r"(?:import\.meta|process)\.env\."))
     groups = lambda i: F.regexp_extract_all("raw", F.lit(pattern), F.lit(i))
