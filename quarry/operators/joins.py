@@ -17,26 +17,57 @@ def resolve_names(calls: DataFrame, definitions: DataFrame, name: str, target: s
     return found.withColumn("resolution", kind).withColumn("resolved_id", F.when(F.col("candidates") == 1, F.col("only"))).drop("only")
 
 
+def _nodes(first: Column, last: Column) -> Column:
+    """The (level, node) of the fewest dyadic intervals that make up first to last; node n of a level holds n * 2^level and the 2^level - 1 numbers behind it."""
+    start = F.struct(first.cast("long").alias("l"), last.cast("long").alias("r"), F.array().cast("array<struct<level: int, node: bigint>>").alias("out"))
+
+    def level_up(state: Column, level: Column) -> Column:
+        left, right = state["l"], state["r"]
+        some, at = left <= right, lambda n: F.array(F.struct(level.alias("level"), n.alias("node")))
+        odd = some & (F.pmod(left, F.lit(2)) == 1)
+        even = some & (F.pmod(right, F.lit(2)) == 0) & ~(odd & (left == right))
+        none = F.array().cast("array<struct<level: int, node: bigint>>")
+        out = F.concat(state["out"], F.when(odd, at(left)).otherwise(none), F.when(even, at(right)).otherwise(none))
+        up = lambda n: F.shiftright(n, 1)
+        return F.struct(up(left + F.when(odd, 1).otherwise(0)).alias("l"), F.when(some, up(right - F.when(even, 1).otherwise(0))).otherwise(up(left) - 1).alias("r"), out.alias("out"))
+
+    one = F.array(F.struct(F.lit(0).alias("level"), first.cast("long").alias("node")))
+    return F.when(first == last, one).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, level_up, lambda s: s["out"]))
+
+
+def _stabbed(points: DataFrame, spans: DataFrame, on: list[str], at: str, low: str, high: str, width: int) -> DataFrame:
+    """Points joined with the spans of their key whose cells of ``width`` hold them; each pair meets once at most.
+
+    A span is a few dyadic intervals of cells (two for each doubling of its length), a point one node of each level that spans use, so neither a long span
+    nor a hot key makes many rows: short spans use the lowest levels only. The levels are 63 at most.
+    """
+    spread = spans.where(F.col(low) <= F.col(high)).withColumn("__n", F.explode(_nodes(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))).select(*spans.columns, F.col("__n.level").alias("__level"), F.col("__n.node").alias("__node"))
+    levels = sorted(r["__level"] for r in spread.select("__level").distinct().collect())
+    cell = F.floor(F.col(at) / width).cast("long")
+    nodes = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(cell, n).alias("node")) for n in levels or [0]])
+    placed = points.where(F.col(at).isNotNull()).withColumn("__n", F.explode(nodes)).select(*points.columns, F.col("__n.level").alias("__level"), F.col("__n.node").alias("__node"))
+    return placed.join(spread, [*on, "__level", "__node"]).drop("__level", "__node")
+
+
 def near_spans(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, high: str, tolerance: int = 15, width: int = 64) -> DataFrame:
     """Inner join of points and spans of one key with at in [low - tolerance, high + tolerance].
 
-    Spans are put into all bins of ``width`` that they touch, a point into its own; the join is by key and bin, so a hot key is
-    spread over its bins, and each pair meets exactly once. Nulls on either side never match.
+    The join is by key and dyadic interval (``_stabbed``), so a hot key is spread and a span of any length makes few rows; each pair meets exactly once.
+    Nulls on either side never match.
     """
-    bins = F.explode(F.sequence(F.floor((F.col(low) - tolerance) / width), F.floor((F.col(high) + tolerance) / width)))
-    spread = spans.where(F.col(low).isNotNull() & F.col(high).isNotNull() & (F.col(low) <= F.col(high) + 2 * tolerance)).withColumn("__bin", bins)
-    placed = points.withColumn("__bin", F.floor(F.col(at) / width))
-    return placed.join(spread, [key, "__bin"]).where(F.col(at).between(F.col(low) - tolerance, F.col(high) + tolerance)).drop("__bin")
+    reach = spans.withColumns({"__low": F.col(low) - tolerance, "__high": F.col(high) + tolerance})
+    return _stabbed(points, reach, [key], at, "__low", "__high", width).where(F.col(at).between(F.col("__low"), F.col("__high"))).drop("__low", "__high")
 
 
 def overlapping_pairs(spans: DataFrame, key: str, ident: str, low: str, high: str, tolerance: int = 5, width: int = 64) -> DataFrame:
-    """(key, a, b) with a < b: spans of one key that overlap when each is stretched by the tolerance at its end."""
-    bins = F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) + tolerance) / width)))
-    side = lambda n: spans.select(key, F.col(ident).alias(n), F.col(low).alias(f"{n}_low"), F.col(high).alias(f"{n}_high"), bins.alias("bin"))
-    met = side("a").join(side("b"), [key, "bin"]).where("a < b")
-    touch = (F.col("a_low") - tolerance <= F.col("b_high")) & (F.col("b_low") - tolerance <= F.col("a_high"))
-    first = F.col("bin") == F.floor(F.greatest("a_low", "b_low") / width)  # of the bins that both touch, the first reports
-    return met.where(touch & first).select(key, "a", "b")
+    """(key, a, b) with a < b: spans of one key that overlap when each is stretched by the tolerance at its end. Of two such spans the one
+    that starts later starts within the other, stretched; of two that start together, the one of the larger ident counts as later."""
+    side = lambda n: spans.select(key, F.col(ident).alias(n), F.col(low).alias(f"{n}_low"), F.col(high).alias(f"{n}_high"))
+    reach = side("x").withColumn("x_end", F.col("x_high") + tolerance)
+    met = _stabbed(side("y"), reach, [key], "y_low", "x_low", "x_end", width)
+    later = (F.col("x_low") < F.col("y_low")) | ((F.col("x_low") == F.col("y_low")) & (F.col("x") < F.col("y")))
+    touch = (F.col("x_low") - tolerance <= F.col("y_high")) & (F.col("y_low") - tolerance <= F.col("x_high"))
+    return met.where(later & touch).select(key, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def match_routes(calls: DataFrame, routes: DataFrame, call_path: str, route_path: str, how: str = "left_anti") -> DataFrame:

@@ -244,8 +244,10 @@ def unaddressed_leads(spark: SparkSession, d: str) -> DataFrame:
     return points.join(near, ["l_partkey", "low"], "left_anti").select("l_partkey", "l_orderkey", "l_linenumber", "low")
 
 
-@query(f"""WITH {_CITE}, i AS MATERIALIZED (SELECT l_partkey, low, high, row_number() OVER (PARTITION BY l_partkey ORDER BY {', '.join(LINE_KEYS)}) AS r FROM c)
-    SELECT a.l_partkey, a.r AS a, b.r AS b FROM i AS a JOIN i AS b ON a.l_partkey = b.l_partkey WHERE a.r < b.r AND a.low - 5 <= b.high AND b.low - 5 <= a.high""")
+@query(f"""WITH {_CITE}, i AS (SELECT l_partkey, low, high, row_number() OVER (PARTITION BY l_partkey ORDER BY {', '.join(LINE_KEYS)}) AS r FROM c),
+    g AS (SELECT l_partkey, list({{'r': r, 'low': low, 'high': high}}) AS held FROM i GROUP BY l_partkey), x AS (SELECT l_partkey, held, unnest(held) AS a FROM g),
+    y AS (SELECT l_partkey, a, unnest(held) AS b FROM x)
+    SELECT l_partkey, a.r AS a, b.r AS b FROM y WHERE a.r < b.r AND a.low - 5 <= b.high AND b.low - 5 <= a.high""")
 def interval_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of citations of a file that overlap within five lines."""
     rows = table(spark, d, "lineitem").select(*LINE_KEYS)

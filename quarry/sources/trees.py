@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import time
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import env_flags, line_count, package_name
+from quarry.shared import written
 
 # Folders not entered, source roots, root configuration files, languages by extension.
 IGNORED = """.git .hg .svn node_modules __pycache__ .venv venv env .env.d dist build .pytest_cache .mypy_cache .ruff_cache .tox .nox target
@@ -36,24 +38,51 @@ def sensitive(path: Column) -> Column:
     return path.rlike(r"(^|/)\.env(\.[^/]*)?$") & ~path.rlike(r"(^|/)\.env\.example$")
 
 
-def list_tree(root: str, timeout: float = 30.0) -> tuple[list[tuple[str, int]], list[tuple[str, str]], bool]:
-    """((path, bytes) of files, (folder, error) of unreadable folders, whether time ran out): ignored folders are not entered, so a walk of
-    a checkout costs what its own files cost. Spark's file source is no help here: it hides names that begin with _ or a dot."""
-    files: list[tuple[str, int]] = []
-    errors: list[tuple[str, str]] = []
-    until = time.monotonic() + timeout
-    note = lambda e: errors.append((os.path.relpath(e.filename or root, root), str(e.strerror or e)))
-    for folder, subfolders, names in os.walk(root, onerror=note):
-        if time.monotonic() > until:
-            return files, errors, True
-        subfolders[:] = sorted(d for d in subfolders if d not in IGNORED and not d.endswith(".egg-info"))
-        for name in sorted(names):
-            full = os.path.join(folder, name)
+def list_tree(spark: SparkSession, root: str, timeout: float = 30.0, partitions: int = 32) -> DataFrame:
+    """(folder, path, kind, size_bytes, error), written: what lies below a folder that all executors share. kind: file, folder (entered), unreadable (a folder,
+    or an entry of it, with its error), unlisted (a folder that time did not suffice for).
+
+    The walk goes level by level: the folders of a level are rows, tasks list them, and those found are the next level, so the driver holds no names and rounds are as
+    many as the tree is deep. Ignored folders and links to folders are not entered. Spark's file source is no help here: it hides names that begin with _ or a dot.
+    """
+    until = time.time() + timeout
+    schema = "folder string, path string, kind string, size_bytes long, error string"
+
+    def below(folder: str) -> Iterator[tuple]:
+        if time.time() > until:
+            yield folder, folder, "unlisted", None, None
+            return
+        try:
+            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+        except OSError as e:
+            yield folder, folder, "unreadable", None, str(e.strerror or e)
+            return
+        for entry in entries:
+            path = f"{folder}/{entry.name}" if folder else entry.name
             try:
-                files.append((os.path.relpath(full, root), os.stat(full).st_size))
+                if not entry.is_dir():
+                    yield folder, path, "file", entry.stat().st_size, None
+                elif not (entry.is_symlink() or entry.name in IGNORED or entry.name.endswith(".egg-info")):
+                    yield folder, path, "folder", None, None
             except OSError as e:
-                note(e)
-    return files, errors, False
+                yield folder, path, "unreadable", None, str(e.strerror or e)
+
+    def level(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [r for folder in batch.column(0).to_pylist() for r in below(folder)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=["folder", "path", "kind", "size_bytes", "error"])
+
+    frontier, found = spark.createDataFrame([("",)], "folder string"), None
+    while True:
+        here = written(frontier.mapInArrow(level, schema))
+        found = here if found is None else found.unionByName(here)
+        entered = here.where("kind = 'folder'").select(F.col("path").alias("folder"))
+        width = entered.count()
+        if not width:
+            return found
+        frontier = entered.repartition(min(partitions, -(-width // 16)))
 
 
 def scan_tree(spark: SparkSession, root: str, max_bytes: int = 2_000_000, timeout: float = 30.0, partitions: int = 32) -> DataFrame:
@@ -71,8 +100,8 @@ def scan(spark: SparkSession, root: str, max_bytes: int = 2_000_000, timeout: fl
     Sensitive environment files are left out before anything is opened. Text is null for oversize and unreadable files; a BOM is dropped,
     undecodable bytes become replacement characters.
     """
-    listed, unreadable, ran_out = list_tree(root, timeout)
-    paths = spark.createDataFrame(listed, "path string, size_bytes long").where(~sensitive(F.col("path"))).repartition(min(partitions, max(1, len(listed))))
+    listed = list_tree(spark, root, timeout, partitions)
+    paths = listed.where("kind = 'file'").where(~sensitive(F.col("path"))).select("path", "size_bytes").repartition(partitions)
 
     def read(batches):
         import pyarrow as pa
@@ -88,7 +117,8 @@ def scan(spark: SparkSession, root: str, max_bytes: int = 2_000_000, timeout: fl
 
     found = paths.mapInArrow(read, "path string, size_bytes long, text string")
     files = found.select("path", language(F.col("path")).alias("language"), "size_bytes", line_count(F.col("text")).alias("lines"), (F.col("size_bytes") > max_bytes).alias("skipped_due_to_size"), "text")
-    return files, spark.createDataFrame(unreadable, "folder string, error string"), ran_out
+    unreadable = listed.where("kind = 'unreadable'").select(F.when(F.col("path") == "", ".").otherwise(F.col("path")).alias("folder"), "error")
+    return files, unreadable, not listed.where("kind = 'unlisted'").isEmpty()
 
 
 def surface(files: DataFrame) -> DataFrame:
