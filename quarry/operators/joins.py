@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.scalars import jaccard, path_pattern
+from quarry.functions.scalars import jaccard
 
 
 def resolve_names(calls: DataFrame, definitions: DataFrame, name: str, target: str) -> DataFrame:
@@ -70,12 +70,34 @@ def overlapping_pairs(spans: DataFrame, key: str, ident: str, low: str, high: st
     return met.where(later & touch).select(key, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _route_shapes(patterns: DataFrame) -> DataFrame:
+    """(shape, key) of route patterns (path, below): a shape is the number of segments, which of them are parameters, and whether anything may follow; the key is the path with
+    parameters blanked."""
+    pieces = F.split(F.regexp_replace("path", "/+$", ""), "/")
+    hole = lambda x: x.rlike(r"^\{[^}]*\}$")
+    holes = F.transform(pieces, hole)
+    return patterns.where(F.col("path").isNotNull()).select(F.struct(F.size(pieces).alias("n"), holes.alias("holes"), F.col("below").alias("below")).alias("shape"), F.array_join(F.transform(pieces, lambda x: F.when(hole(x), "{}").otherwise(x)), "/").alias("key")).distinct()
+
+
+def matching_paths(paths: DataFrame, patterns: DataFrame, sent: int = 100_000) -> DataFrame:
+    """The paths (path) that a pattern (path, below) matches: a segment ``{x}`` or ``{}`` of a pattern stands for any one segment, a trailing slash is optional, and with
+    ``below`` anything may follow. A path is blanked in the way of each shape that patterns of its length have, and met by equality, so the number of
+    patterns does not count. Shapes are broadcast up to ``sent``."""
+    table = _route_shapes(patterns)
+    shapes = table.select("shape", F.col("shape.n").alias("n")).distinct()
+    if shapes.limit(sent + 1).count() <= sent:
+        shapes = F.broadcast(shapes)
+    pieces = F.split(F.regexp_replace("path", "/$", ""), "/")
+    cut = paths.where(F.col("path").isNotNull()).select("path").distinct().select("path", pieces.alias("pieces"), F.size(pieces).alias("of")).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("of"))))
+    met = cut.join(shapes, "n").where((F.col("n") == F.col("of")) | F.col("shape.below"))
+    blank = F.zip_with(F.slice("pieces", 1, F.col("n")), "shape.holes", lambda p, h: F.when(~h, p).when(p != "", "{}"))  # a parameter is no empty segment
+    return met.where(F.forall(blank, lambda x: x.isNotNull())).select("path", "shape", F.array_join(blank, "/").alias("key")).join(table, ["shape", "key"], "left_semi").select("path").distinct()
+
+
 def match_routes(calls: DataFrame, routes: DataFrame, call_path: str, route_path: str, how: str = "left_anti") -> DataFrame:
-    """Calls without (left_anti) or with (left_semi) a matching route. Paths meet by their number of segments, then by pattern; parameters
-    in the route match one segment. Distinct patterns only are joined."""
-    segments = lambda c: F.size(F.filter(F.split(F.col(c), "/"), lambda x: x != ""))
-    patterns = routes.where(F.col(route_path).isNotNull()).select(segments(route_path).alias("__n"), path_pattern(F.col(route_path)).alias("__p")).distinct()
-    return calls.withColumn("__m", segments(call_path)).join(patterns, (F.col("__m") == F.col("__n")) & F.expr(f"`{call_path}` rlike __p"), how).drop("__m")
+    """Calls without (left_anti) or with (left_semi) a matching route; parameters in the route match one segment."""
+    found = matching_paths(calls.select(F.col(call_path).alias("path")), routes.select(F.col(route_path).alias("path"), F.lit(False).alias("below")))
+    return calls.join(found.withColumnRenamed("path", "__path"), F.col(call_path) == F.col("__path"), how)
 
 
 def similar_sets(sets: DataFrame, ident: str, terms: str, least: float) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.predicates import cited_paths
 from quarry.functions.scalars import SEVERITIES, jaccard, rank_of, title_terms
-from quarry.operators.joins import near_spans
+from quarry.operators.containment import containing
+from quarry.operators.joins import matching_paths, near_spans
 from quarry.operators.windows import first_by, numbered
 from quarry.shared import written
 
@@ -100,7 +101,10 @@ def dismissals(actions: DataFrame, leads: DataFrame) -> DataFrame:
     from quarry.functions.predicates import no_reason, scope_reason
 
     valid = actions.where((F.length(F.trim("reason")) >= 10) & ~no_reason(F.col("reason")) & ~scope_reason(F.col("reason")) & (F.trim("needle") != ""))
-    met = leads.join(valid, "lane").where(F.contains(F.lower(F.concat_ws(" ", "label", "row")), F.lower(F.trim("needle"))))
+    wanted = valid.withColumn("needle", F.lower(F.trim("needle")))
+    texts = leads.select("lane", "row", F.struct("label", "row").alias("lead"), F.lower(F.concat_ws(" ", "label", "row")).alias("text")).distinct()
+    held = containing(texts.select("lane", "lead", "text"), "lead", "text", wanted, "needle", ["lane"])
+    met = held.select("lane", F.col("lead.row").alias("row"), "needle").join(wanted, ["lane", "needle"])
     return met.groupBy("lane", "row").agg(F.max_by("reason", "seq").alias("reason"))
 
 
@@ -129,14 +133,10 @@ def cites_repository(texts: DataFrame, files: DataFrame) -> DataFrame:
 
 def routes_without_client(routes: DataFrame, calls: DataFrame) -> DataFrame:
     """Routes that no client call matches, the parameters of a route standing for any value; none if there are no calls at all."""
-    if calls.isEmpty():
-        return routes.limit(0)
-    segments = lambda c: F.size(F.filter(F.split(c, "/"), lambda x: x != ""))
-    filled = routes.withColumn("__probe", F.regexp_replace("path", r"\{[^}]*\}", "x")).withColumn("__n", segments(F.col("path")))
-    from quarry.functions.scalars import path_pattern
-
-    patterns = calls.select(segments(F.col("path")).alias("__m"), path_pattern(F.col("path")).alias("__p")).distinct()
-    return filled.join(patterns, (F.col("__n") == F.col("__m")) & F.expr("__probe rlike __p"), "left_anti").drop("__probe", "__n")
+    some = calls.limit(1).select(F.lit(True).alias("__some"))
+    filled = routes.withColumn("__probe", F.regexp_replace("path", r"\{[^}]*\}", "x"))
+    called = matching_paths(filled.select(F.col("__probe").alias("path")), calls.select("path", F.lit(False).alias("below")))
+    return filled.join(called.withColumnRenamed("path", "__called"), F.col("__probe") == F.col("__called"), "left_anti").join(F.broadcast(some), F.lit(True), "left_semi").drop("__probe")
 
 
 def documented_routes(routes: DataFrame, documents: DataFrame) -> DataFrame:

@@ -152,8 +152,15 @@ def client_calls(files: DataFrame, first_segments: DataFrame) -> DataFrame:
     return windows.first_by(rows.join(first_segments, "segment", "left_semi"), ["call", "file"], [F.col("line")]).select(F.col("call").alias("path"), "file", "line")
 
 
-def unmatched_calls(calls: DataFrame, route_map: DataFrame) -> DataFrame:
-    return joins.match_routes(calls, route_map.select(F.col("path").alias("route")), "path", "route")
+def unmatched_calls(calls: DataFrame, route_map: DataFrame, mounts: DataFrame | None = None) -> DataFrame:
+    """Calls (path, ...) that neither a route nor a mount (path; anything below it counts) serves; a bare first segment of a route is no call. None if there are no routes."""
+    served = route_map.select("path", F.lit(False).alias("below"))
+    if mounts is not None:
+        served = served.union(mounts.select("path", F.lit(True).alias("below")))
+    first = route_map.select(F.concat(F.lit("/"), F.element_at(F.split(F.regexp_replace("path", "^/+|/+$", ""), "/"), 1)).alias("path")).distinct()
+    known = joins.matching_paths(calls, served).union(first).distinct()
+    some = route_map.limit(1).select(F.lit(True).alias("__some"))
+    return calls.join(known, "path", "left_anti").join(F.broadcast(some), F.lit(True), "left_semi")
 
 
 def blueprint_routes(tree: DataFrame) -> DataFrame:
