@@ -75,8 +75,9 @@ def flows(nodes: DataFrame, rules: list[Flow]) -> DataFrame:
     roles = ("sources", "sinks", "cleaners", "but")
     patterns = {f"{r.name}|{role}|{i}": p for r in rules for role in roles for i, p in enumerate(getattr(r, role))}
     parts = F.split("key", r"\|")
-    found = written(match(nodes, patterns).select(parts[0].alias("rule"), parts[1].alias("role"), "path", "node", "last", "line", "binds", "places"))
-    table = F.broadcast(nodes.sparkSession.createDataFrame([(r.name, r.severity, list(r.where.items())) for r in rules], "rule string, severity string, wheres array<struct<var: string, like: string>>"))
+    likes = {f"{r.name}|sinks|{i}": r.where for r in rules for i in range(len(r.sinks))}
+    found = written(match(nodes, patterns, likes).select(parts[0].alias("rule"), parts[1].alias("role"), "path", "node", "last", "line", "binds", "places"))
+    table = F.broadcast(nodes.sparkSession.createDataFrame([(r.name, r.severity) for r in rules], "rule string, severity string"))
     cleaned = found.where("role = 'cleaners'").select("rule", "path", F.col("node").alias("c_node"), F.col("last").alias("c_last"))
 
     def outside(points: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def flows(nodes: DataFrame, rules: list[Flow]) -> DataFrame:
     tainted = reachable(edges, roots).select("node")
     carried = read.withColumn("node", ident("def")).join(tainted, "node", "left_semi").select("rule", "path", "at")
     points = starts.select("rule", "path", "at").union(carried)
-    sinks = found.where("role = 'sinks'").join(table, "rule").where(F.forall("wheres", lambda w: F.coalesce(F.regexp_like(F.substr(F.element_at("binds", w["var"]), F.lit(3)), w["like"]), F.lit(False))))
+    sinks = found.where("role = 'sinks'").join(table, "rule")
     spans = nodes.select("path", F.col("node").alias("s_node"), F.col("last").alias("s_last"))
     sinks = sinks.withColumn("s_node", F.element_at("places", "SINK")).join(spans, ["path", "s_node"])
     hit = (F.col("s.rule") == F.col("p.rule")) & (F.col("s.path") == F.col("p.path")) & F.col("p.at").between(F.col("s.s_node"), F.col("s.s_last"))

@@ -28,14 +28,16 @@ NODE = "path string, node int, parent int, up array<int>, field string, pos int,
 NEAR = 6
 SKIPPED = (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
 BLOCKS = ("body", "orelse", "finalbody", "handlers", "cases")
-#: Expressions of so many nodes at most are known by their code, larger ones by a hash of it.
-SHOWN = 24
+#: Expressions of so many nodes, and strings of so many characters, at most are known by their code, longer ones by a hash of it.
+SHOWN, LONG = 24, 200
+COLUMNS = [c.split()[0] for c in NODE.split(", ")]
 
 
 def _value(node: ast.AST) -> str | None:
     """What is written in a node itself."""
     if isinstance(node, ast.Constant):
-        return f"s:{node.value}" if isinstance(node.value, str) else f"c:{node.value!r}"
+        text = f"s:{node.value}" if isinstance(node.value, str) else f"c:{node.value!r}"
+        return text if len(text) <= LONG else f"{text[:LONG]} {hashlib.md5(text.encode('utf-8', 'replace')).hexdigest()}"
     if isinstance(node, ast.BinOp | ast.UnaryOp | ast.BoolOp | ast.AugAssign):
         return type(node.op).__name__
     if isinstance(node, ast.Compare):
@@ -56,7 +58,7 @@ def _rows(path: str, source: str) -> list[dict]:
     def visit(node: ast.AST, up: list[int], name: str, pos: int, scope: int, block: str, stmt: int) -> str:
         here, children = len(out), []
         stmt = here if isinstance(node, ast.stmt) else stmt
-        row = {"path": path, "node": here, "parent": up[0] if up else None, "up": up[:NEAR], "field": name, "pos": pos, "kind": type(node).__name__, "value": _value(node), "line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None), "scope": scope, "block": block, "stmt": stmt}
+        row = {"path": path, "node": here, "parent": up[0] if up else None, "up": up[: NEAR + 1], "field": name, "pos": pos, "kind": type(node).__name__, "value": _value(node), "line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None), "scope": scope, "block": block if isinstance(node, ast.Name | ast.arg) else None, "stmt": stmt}
         out.append(row | {"store": isinstance(getattr(node, "ctx", None), ast.Store) or isinstance(node, ast.arg)})
         row = out[-1]
         inner = here if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.Lambda | ast.ClassDef) else scope
@@ -74,11 +76,15 @@ def _rows(path: str, source: str) -> list[dict]:
             shapes.append(f"{key}{len(held)}")
         if isinstance(node, ast.Name):
             shape = f"n:{node.id}"
-        elif isinstance(node, ast.expr) and len(out) - here <= SHOWN:
+        elif isinstance(node, ast.Constant):
+            shape = f"e:{node.value!r}" if len(row["value"]) <= LONG else f"h:{row['value']}"
+        elif isinstance(node, ast.Attribute) and children[0][0] != "h":
+            shape = f"e:{children[0][2:]}.{node.attr}"
+        elif isinstance(node, ast.expr) and len(out) - here <= SHOWN and not any(c[0] == "h" for c in children):
             shape = f"e:{ast.unparse(node)}"
         else:
             shape = "h:" + hashlib.md5("|".join([row["kind"], row["value"] or "", *shapes, *children]).encode("utf-8", "replace")).hexdigest()
-        row |= {"sizes": list(sizes.items()), "last": len(out) - 1, "shape": shape}
+        row |= {"sizes": [x for x in sizes.items() if x[1]], "last": len(out) - 1, "shape": shape}
         return shape
 
     try:
@@ -93,7 +99,7 @@ def _rows(path: str, source: str) -> list[dict]:
 
 def syntax_nodes(files: DataFrame, path: str = "path", text: str = "text", limit: int = 2_000_000) -> DataFrame:
     """Every syntax node (NODE) of the Python files of a (path, text) table, in the order of the source: parent, the field and place in it, kind, value, a
-    the code below (a hash, if it is long), numbers of nodes in its lists, lines, the last node below it, enclosing definition, block and statement. Files without path or text, over ``limit``
+    the code below (a hash, if it is long), numbers of nodes in its lists, lines, the last node below it, enclosing definition, block (of names) and statement. Of strings of over ``LONG`` characters the value is the start and a hash. Files without path or text, over ``limit``
     characters, or that do not parse, have no rows. Write it once: every match below reads it."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -104,16 +110,20 @@ def syntax_nodes(files: DataFrame, path: str = "path", text: str = "text", limit
         import pyarrow as pa
 
         for batch in batches:
+            rows: list[dict] = []
             for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if found := _rows(p, t):
-                    yield pa.RecordBatch.from_pylist(found, schema=schema)
+                rows += _rows(p, t)
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in zip(COLUMNS, schema, strict=True)], schema=schema)
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in zip(COLUMNS, schema, strict=True)], schema=schema)
 
     return files.where(F.col(path).isNotNull() & (F.length(text) <= limit)).select(path, text).mapInArrow(parse, NODE)
 
 
 # ---- patterns to steps
 
-STEP = "struct<parent: int, field: string, kinds: array<string>, value: string, any_string: boolean, bind: string, bind_from: string, pos: int, after: int, beside: int, sizes: map<string,int>>"
+STEP = "struct<like: string, parent: int, field: string, kinds: array<string>, value: string, any_string: boolean, bind: string, bind_from: string, pos: int, after: int, beside: int, sizes: map<string,int>>"
 META, REST = "META_", "REST__"
 UNSAID = {"ctx", "type_comment", "type_params", "returns", "kind", "conversion", "simple", "decorator_list", "annotation"}
 
@@ -216,34 +226,32 @@ def _anchor(steps: list[dict]) -> tuple[int, int]:
     return at, depth[at]
 
 
-def match(nodes: DataFrame, patterns: dict[str, str]) -> DataFrame:
+def match(nodes: DataFrame, patterns: dict[str, str], likes: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """(key, path, node, last, line, end_line, binds, places): every match of every pattern (key to text). binds: what the metavariables stand for (a name is n:name, a string
-    s:text, other code e:code or, if long, a hash); places: their nodes. A node may match in several ways."""
+    s:text, other code e:code or, if long, a hash); places: their nodes. A node may match in several ways. ``likes``: for a key, regular
+    expressions that metavariables must fit."""
     spark = nodes.sparkSession
     compiled = {key: steps_of(text) for key, text in patterns.items()}
-    starts, tables = [], []
+    starts = []
     for key, steps in compiled.items():
         at, depth = _anchor(steps)
         starts += [(key, kind, steps[at]["value"], depth) for kind in steps[at]["kinds"]]
-        tables.append((key, steps))
-    # Both are as large as the rules.
-    anchors, table = F.broadcast(spark.createDataFrame(starts, "key string, kind string, value string, depth int")), F.broadcast(spark.createDataFrame(tables, f"key string, steps array<{STEP}>"))
+        for step in steps:
+            step["like"] = (likes or {}).get(key, {}).get(step["bind"])
+    anchors = F.broadcast(spark.createDataFrame(starts, "key string, kind string, value string, depth int"))  # as large as the rules
     cond = (F.col("n.kind") == F.col("p.kind")) & (F.col("p.value").isNull() | (F.col("n.value") == F.col("p.value")))
     root = F.when(F.col("p.depth") == 0, F.col("n.node")).otherwise(F.get("n.up", F.col("p.depth") - 1))
-    found = nodes.alias("n").join(anchors.alias("p"), cond).select("p.key", "n.path", root.alias("root")).where("root is not null").distinct().join(table, "key")
-    none = F.create_map().cast("map<string,string>")
-    side = nodes.select(F.col("path").alias("n_path"), F.coalesce("parent", F.lit(-1)).alias("n_parent"), "node", "field", "pos", "kind", "value", "shape", "sizes", "last", "line", "end_line")
-    # The root is met as a child of its parent, like all other nodes; so is what stands in for steps that a short pattern lacks.
-    parents = nodes.select(F.col("path").alias("n_path"), F.col("node").alias("root_node"), F.coalesce("parent", F.lit(-1)).alias("root_parent"))
-    found = found.join(parents, (F.col("path") == F.col("n_path")) & (F.col("root") == F.col("root_node"))).drop("n_path", "root_node")
+    above = F.coalesce(F.get("n.up", F.col("p.depth")), F.lit(-1))
+    found = nodes.alias("n").join(anchors.alias("p"), cond).select("p.key", "n.path", root.alias("root"), above.alias("root_parent")).where("root is not null").distinct()
     empty = F.array().cast("array<int>")
-    found = found.select("key", "steps", "path", "root", "root_parent", empty.alias("at"), empty.alias("places"), none.alias("binds"), F.create_map().cast("map<string,int>").alias("spots"), F.lit(None).cast("int").alias("r_last"), F.lit(None).cast("int").alias("r_line"), F.lit(None).cast("int").alias("r_end"))
+    found = found.select("*", empty.alias("at"), empty.alias("places"), F.create_map().cast("map<string,string>").alias("binds"), F.create_map().cast("map<string,int>").alias("spots"), *[F.lit(None).cast("int").alias(c) for c in ("r_last", "r_line", "r_end")])
+    # The root is met as a child of its parent, like all other nodes; so is what stands in for steps that a short pattern lacks.
+    side = nodes.select(F.col("path").alias("n_path"), F.coalesce("parent", F.lit(-1)).alias("n_parent"), "node", "field", "pos", "kind", "value", "shape", "sizes", "last", "line", "end_line")
     for i in range(max(map(len, compiled.values()), default=0)):
-        step = F.get("steps", F.lit(i))
-        over, first = F.size("steps") <= i, F.lit(i == 0)
-        bound = F.get("at", step["parent"])
-        live = found.withColumns({"step": step, "over": over, "want": F.when(over | first, F.col("root_parent")).otherwise(bound)})
-        s = F.col("step")
+        table = F.broadcast(spark.createDataFrame([(key, steps[i] if i < len(steps) else None) for key, steps in compiled.items()], f"key string, step {STEP}"))
+        s, first = F.col("step"), F.lit(i == 0)
+        live = found.join(table, "key").withColumn("over", s.isNull())
+        live = live.withColumn("want", F.when(F.col("over") | first, F.col("root_parent")).otherwise(F.get("at", s["parent"])))
         got = F.when(s["bind_from"] == "shape", F.col("shape")).when(s["bind_from"] == "name", F.concat(F.lit("n:"), "value")).when(s["bind_from"] == "value", F.col("value"))
         held = F.element_at("binds", s["bind"])
         fits = (
@@ -255,14 +263,15 @@ def match(nodes: DataFrame, patterns: dict[str, str]) -> DataFrame:
             & (s["beside"].isNull() | (F.get("places", s["beside"]) == F.col("pos")))
             & F.coalesce(F.forall(F.map_entries(s["sizes"]), lambda e: F.coalesce(F.element_at("sizes", e["key"]), F.lit(0)) == e["value"]), F.lit(True))
             & (s["bind"].isNull() | (got.isNotNull() & (held.isNull() | (held == got))))
+            & (s["like"].isNull() | F.regexp_like(F.substr(got, F.lit(3)), s["like"]))
         )
         stay = F.col("node") == F.col("root")
         here = F.when(F.col("over"), stay).when(first, stay & fits).otherwise((F.col("field") == s["field"]) & fits)
         joined = live.join(side, (F.col("path") == F.col("n_path")) & (F.col("want") == F.col("n_parent")) & F.coalesce(here, F.lit(False)))
         news = ~F.col("over") & s["bind"].isNotNull() & held.isNull()
         found = joined.select(
-            "key", "steps", "path", "root", "root_parent", F.when(F.col("over"), F.col("at")).otherwise(F.array_append("at", F.col("node"))).alias("at"), F.when(F.col("over"), F.col("places")).otherwise(F.array_append("places", F.col("pos"))).alias("places"),
-            F.when(news & got.isNotNull(), F.map_concat("binds", F.create_map(F.coalesce(s["bind"], F.lit("")), got))).otherwise(F.col("binds")).alias("binds"),
+            "key", "path", "root", "root_parent", F.when(F.col("over"), F.col("at")).otherwise(F.array_append("at", F.col("node"))).alias("at"), F.when(F.col("over"), F.col("places")).otherwise(F.array_append("places", F.col("pos"))).alias("places"),
+            F.when(news, F.map_concat("binds", F.create_map(F.coalesce(s["bind"], F.lit("")), got))).otherwise(F.col("binds")).alias("binds"),
             F.when(news, F.map_concat("spots", F.create_map(F.coalesce(s["bind"], F.lit("")), F.col("node")))).otherwise(F.col("spots")).alias("spots"),
             *[(F.col(c) if i == 0 else F.col(r)).alias(r) for r, c in (("r_last", "last"), ("r_line", "line"), ("r_end", "end_line"))],
         )
@@ -295,10 +304,11 @@ def run_rules(nodes: DataFrame, rules: list[Rule], keep=lambda df: df) -> DataFr
     roles = ("any", "but", "inside", "outside")
     patterns = {f"{r.name}|{role}|{i}": p for r in rules for role in roles for i, p in enumerate(getattr(r, role))}
     parts = F.split("key", r"\|")
-    found = keep(match(nodes, patterns).withColumns({"rule": parts[0], "role": parts[1]}).drop("key"))
-    table = nodes.sparkSession.createDataFrame([(r.name, r.severity, list(r.where.items()), bool(r.inside), bool(r.outside)) for r in rules], "rule string, severity string, wheres array<struct<var: string, like: string>>, needs boolean, shuns boolean")
+    likes = {f"{r.name}|any|{i}": r.where for r in rules for i in range(len(r.any))}
+    found = keep(match(nodes, patterns, likes).withColumns({"rule": parts[0], "role": parts[1]}).drop("key"))
+    table = nodes.sparkSession.createDataFrame([(r.name, r.severity, sorted(r.where), bool(r.inside), bool(r.outside)) for r in rules], "rule string, severity string, wheres array<string>, needs boolean, shuns boolean")
     hits = found.where("role = 'any'").join(F.broadcast(table), "rule")
-    hits = hits.where(F.forall("wheres", lambda w: F.coalesce(F.regexp_like(F.substr(F.element_at("binds", w["var"]), F.lit(3)), w["like"]), F.lit(False))))
+    hits = hits.where(F.forall("wheres", lambda v: F.array_contains(F.map_keys("binds"), v)))
     but = found.where("role = 'but'").select("rule", "path", "node").distinct()
     hits = hits.join(but, ["rule", "path", "node"], "left_anti")
     around = lambda role: found.where(F.col("role") == role).select(F.col("rule").alias("o_rule"), F.col("path").alias("o_path"), F.col("node").alias("o_node"), F.col("last").alias("o_last"), F.col("binds").alias("o_binds"))
