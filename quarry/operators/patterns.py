@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.windows import first_by
@@ -29,7 +29,7 @@ NEAR = 6
 SKIPPED = (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
 BLOCKS = ("body", "orelse", "finalbody", "handlers", "cases")
 #: Expressions of so many nodes, and strings of so many characters, at most are known by their code, longer ones by a hash of it.
-SHOWN, LONG = 24, 200
+SHOWN, LONG = 24, 100
 COLUMNS = [c.split()[0] for c in NODE.split(", ")]
 
 
@@ -50,73 +50,107 @@ def _value(node: ast.AST) -> str | None:
     return None
 
 
-def _rows(path: str, source: str) -> list[dict]:
+DEFINES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)
+AT = {c: i for i, c in enumerate(COLUMNS)}
+
+
+def _rows(path: str, source: str) -> list[list]:
+    """The rows of a file, as lists in the order of the columns."""
     from quarry.operators.python_ast import tolerant
 
-    out: list[dict] = []
-
-    def visit(node: ast.AST, up: list[int], name: str, pos: int, scope: int, block: str, stmt: int) -> str:
-        here, children = len(out), []
-        stmt = here if isinstance(node, ast.stmt) else stmt
-        row = {"path": path, "node": here, "parent": up[0] if up else None, "up": up[: NEAR + 1], "field": name, "pos": pos, "kind": type(node).__name__, "value": _value(node), "line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None), "scope": scope, "block": block if isinstance(node, ast.Name | ast.arg) else None, "stmt": stmt}
-        out.append(row | {"store": isinstance(getattr(node, "ctx", None), ast.Store) or isinstance(node, ast.arg)})
-        row = out[-1]
-        inner = here if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.Lambda | ast.ClassDef) else scope
-        sizes, shapes = {}, []
-        for key, value in ast.iter_fields(node):
-            held = value if isinstance(value, list) else [value]
-            held = [(i, v) for i, v in enumerate(held) if isinstance(v, ast.AST) and not isinstance(v, SKIPPED)]
-            if isinstance(value, list) or isinstance(node, ast.ExceptHandler) and key == "type":
-                sizes[key] = len(value) if isinstance(value, list) else len(held)
-            mark = "?" if isinstance(node, ast.If) else "."
-            below = (f"/{here}{mark}{key}" if inner != scope else f"{block}/{here}{mark}{key}") if key in BLOCKS else "" if inner != scope else block
-            if key == "target" and isinstance(node, ast.For | ast.AsyncFor):
+    out: list[list] = []
+    last, shape_at, after, stmt_at, kind_at, sizes_at = (AT[c] for c in ("last", "shape", "after", "stmt", "kind", "sizes"))
+
+    def code(row: list) -> str:
+        """What a node is known by, see ``shown``."""
+        return row[shape_at] or (f"n:{row[AT['value']]}" if row[kind_at] == "Name" else row[AT["value"]] or "")
+
+    def visit(node: ast.AST, up: list[int], name: str, pos: int, scope: int, block: str, stmt: int) -> list:
+        here = len(out)
+        leaf = isinstance(node, ast.Name | ast.Constant)
+        if isinstance(node, ast.stmt):
+            stmt = here
+        named = isinstance(node, ast.Name | ast.arg)
+        store = isinstance(node, ast.arg) or isinstance(node, ast.Name) and isinstance(node.ctx, ast.Store)
+        row = [path, here, up[0] if up else None, up[: NEAR + 1], name, pos, type(node).__name__, _value(node), None, (), getattr(node, "lineno", None), getattr(node, "end_lineno", None), here, scope, block if named else None, store, stmt, None]
+        out.append(row)
+        if leaf:
+            return row
+        inner = here if isinstance(node, DEFINES) else scope
+        sizes, below_us, plain = [], [here, *up[:NEAR]], True
+        parts = [row[kind_at], row[AT["value"]] or ""]
+        for key in node._fields:
+            value = getattr(node, key, None)
+            if isinstance(value, list):
+                if value:
+                    sizes.append((key, len(value)))
+                held = [(i, v) for i, v in enumerate(value) if isinstance(v, ast.AST) and not isinstance(v, SKIPPED)]
+            elif isinstance(value, ast.AST) and not isinstance(value, SKIPPED):
+                held = [(0, value)]
+                if key == "type" and isinstance(node, ast.ExceptHandler):
+                    sizes.append((key, 1))
+            else:
+                continue
+            if key in BLOCKS:
+                mark = "?" if isinstance(node, ast.If) else "."
+                below = f"/{here}{mark}{key}" if inner != scope else f"{block}/{here}{mark}{key}"
+            elif key == "target" and isinstance(node, ast.For | ast.AsyncFor):
                 below = f"{block}/{here}.body"  # an empty loop assigns nothing
-            children += [visit(v, [here, *up], key, i, inner, below, stmt) for i, v in held]
-            shapes.append(f"{key}{len(held)}")
-        if isinstance(node, ast.Name):
-            shape = f"n:{node.id}"
-        elif isinstance(node, ast.Constant):
-            shape = f"e:{node.value!r}" if len(row["value"]) <= LONG else f"h:{row['value']}"
-        elif isinstance(node, ast.Attribute) and children[0][0] != "h":
-            shape = f"e:{children[0][2:]}.{node.attr}"
-        elif isinstance(node, ast.expr) and len(out) - here <= SHOWN and not any(c[0] == "h" for c in children):
-            shape = f"e:{ast.unparse(node)}"
+            else:
+                below = "" if inner != scope else block
+            parts.append(f"{key}{len(held)}")
+            for i, v in held:
+                c = code(visit(v, below_us, key, i, inner, below, stmt))
+                plain = plain and c[:1] != "h"
+                parts.append(c)
+        row[last], row[sizes_at] = len(out) - 1, sizes
+        if isinstance(node, ast.Attribute) and parts[-1][:2] in ("n:", "e:"):
+            row[shape_at] = f"e:{parts[-1][2:]}.{node.attr}"
+        elif isinstance(node, ast.expr) and plain and len(out) - here <= SHOWN:
+            row[shape_at] = f"e:{ast.unparse(node)}"
         else:
-            shape = "h:" + hashlib.md5("|".join([row["kind"], row["value"] or "", *shapes, *children]).encode("utf-8", "replace")).hexdigest()
-        row |= {"sizes": [x for x in sizes.items() if x[1]], "last": len(out) - 1, "shape": shape}
-        return shape
+            row[shape_at] = "h:" + hashlib.md5("|".join(parts).encode("utf-8", "replace")).hexdigest()
+        return row
 
     try:
         visit(tolerant(source)[0], [], "", 0, 0, "", 0)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         out.clear()  # python_ast.nodes reports files that do not parse
     for row in out:  # assignments take effect when their statement is over, other names at once
-        whole = out[row["stmt"]]
-        row["after"] = whole["last"] if whole["kind"] in ("Assign", "AugAssign", "AnnAssign") else row["node"]
+        whole = out[row[stmt_at]]
+        row[after] = whole[last] if whole[kind_at] in ("Assign", "AugAssign", "AnnAssign") else row[1]
     return out
 
 
+def shown(kind: str = "kind", value: str = "value", shape: str = "shape") -> Column:
+    """The code that a node stands for: n:name, s:string, c:constant, e:code, or h: and a hash of longer code."""
+    return F.coalesce(F.col(shape), F.when(F.col(kind) == "Name", F.concat(F.lit("n:"), F.col(value))).otherwise(F.col(value)))
+
+
 def syntax_nodes(files: DataFrame, path: str = "path", text: str = "text", limit: int = 2_000_000) -> DataFrame:
-    """Every syntax node (NODE) of the Python files of a (path, text) table, in the order of the source: parent, the field and place in it, kind, value, a
-    the code below (a hash, if it is long), numbers of nodes in its lists, lines, the last node below it, enclosing definition, block (of names) and statement. Of strings of over ``LONG`` characters the value is the start and a hash. Files without path or text, over ``limit``
-    characters, or that do not parse, have no rows. Write it once: every match below reads it."""
+    """Every syntax node (NODE) of the Python files of a (path, text) table, in the order of the source: parent, the field and place in it, kind, value, the code below
+    (a hash, if it is long; null where the value says it), numbers of nodes in its lists, lines, the last node below it, enclosing definition, block (of names) and statement. Of strings of
+    over ``LONG`` characters the value is the start and a hash. Files without path or text, over ``limit`` characters, or that do not parse, have no rows. Write it once: every match below reads it."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(NODE))
 
-    def parse(batches) -> Iterator:
+    def batch_of(rows: list[list]):
         import pyarrow as pa
 
+        columns = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def parse(batches) -> Iterator:
         for batch in batches:
-            rows: list[dict] = []
+            rows: list[list] = []
             for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows += _rows(p, t)
                 if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in zip(COLUMNS, schema, strict=True)], schema=schema)
+                    yield batch_of(rows)
                     rows = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in zip(COLUMNS, schema, strict=True)], schema=schema)
+            yield batch_of(rows)
 
     return files.where(F.col(path).isNotNull() & (F.length(text) <= limit)).select(path, text).mapInArrow(parse, NODE)
 
@@ -228,7 +262,7 @@ def _anchor(steps: list[dict]) -> tuple[int, int]:
 
 def match(nodes: DataFrame, patterns: dict[str, str], likes: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """(key, path, node, last, line, end_line, binds, places): every match of every pattern (key to text). binds: what the metavariables stand for (a name is n:name, a string
-    s:text, other code e:code or, if long, a hash); places: their nodes. A node may match in several ways. ``likes``: for a key, regular
+    s:text, a number c:number, other code e:code or, if long, h:hash); places: their nodes. A node may match in several ways. ``likes``: for a key, regular
     expressions that metavariables must fit."""
     spark = nodes.sparkSession
     compiled = {key: steps_of(text) for key, text in patterns.items()}
@@ -252,7 +286,7 @@ def match(nodes: DataFrame, patterns: dict[str, str], likes: dict[str, dict[str,
         s, first = F.col("step"), F.lit(i == 0)
         live = found.join(table, "key").withColumn("over", s.isNull())
         live = live.withColumn("want", F.when(F.col("over") | first, F.col("root_parent")).otherwise(F.get("at", s["parent"])))
-        got = F.when(s["bind_from"] == "shape", F.col("shape")).when(s["bind_from"] == "name", F.concat(F.lit("n:"), "value")).when(s["bind_from"] == "value", F.col("value"))
+        got = F.when(s["bind_from"] == "shape", shown()).when(s["bind_from"] == "name", F.concat(F.lit("n:"), "value")).when(s["bind_from"] == "value", F.col("value"))
         held = F.element_at("binds", s["bind"])
         fits = (
             (s["kinds"].isNull() | F.array_contains(s["kinds"], F.col("kind")))

@@ -57,7 +57,7 @@ def test_match_finds_the_lines_by_hand(nodes):
 
 def test_match_keeps_what_metavariables_stand_for(nodes):
     found = patterns.match(nodes, {"k": "subprocess.$FN($CMD, ..., shell=True, ...)", "e": "try:\n    ...\nexcept $T as $E:\n    ..."}).collect()
-    assert sorted((r["line"], r["binds"]["FN"], r["binds"]["CMD"]) for r in found if r["key"] == "k") == [(3, "n:run", "n:cmd"), (4, "n:run", "e:'ls'")]
+    assert sorted((r["line"], r["binds"]["FN"], r["binds"]["CMD"]) for r in found if r["key"] == "k") == [(3, "n:run", "n:cmd"), (4, "n:run", "s:ls")]
     assert [r["binds"] for r in found if r["key"] == "e"] == [{"T": "n:Exception", "E": "n:e"}]
 
 
