@@ -249,13 +249,15 @@ def steps_of(text: str) -> list[dict]:
 
 
 def _anchor(steps: list[dict]) -> tuple[int, int]:
-    """(step, depth below the root) to start from: a fixed name, of the least depth; else the root."""
+    """(step, depth below the root) to start from: a fixed name, of the least depth; else a metavariable that must fit an expression; else the root."""
     depth = [0] * len(steps)
     for i, s in enumerate(steps[1:], 1):
         depth[i] = depth[s["parent"]] + 1
-    named = [i for i, s in enumerate(steps) if s["kinds"] and s["value"] is not None and depth[i] <= NEAR and not s["value"].startswith("c:")]
-    at = min(named, key=lambda i: (depth[i], i), default=0)
-    if steps[at]["kinds"] is None:
+    near = [i for i in range(len(steps)) if depth[i] <= NEAR]
+    named = [i for i in near if steps[i]["kinds"] and steps[i]["value"] is not None and not steps[i]["value"].startswith("c:")]
+    liked = [i for i in near if i and steps[i].get("like") and steps[i]["bind_from"] == "shape"]
+    at = min(named or liked, key=lambda i: (depth[i], i), default=0)
+    if at == 0 and steps[at]["kinds"] is None:
         raise ValueError("a pattern of nothing but a metavariable matches everything")
     return at, depth[at]
 
@@ -266,17 +268,23 @@ def match(nodes: DataFrame, patterns: dict[str, str], likes: dict[str, dict[str,
     expressions that metavariables must fit."""
     spark = nodes.sparkSession
     compiled = {key: steps_of(text) for key, text in patterns.items()}
-    starts = []
+    starts, fitting = [], []
     for key, steps in compiled.items():
-        at, depth = _anchor(steps)
-        starts += [(key, kind, steps[at]["value"], depth) for kind in steps[at]["kinds"]]
         for step in steps:
             step["like"] = (likes or {}).get(key, {}).get(step["bind"])
-    anchors = F.broadcast(spark.createDataFrame(starts, "key string, kind string, value string, depth int"))  # as large as the rules
-    cond = (F.col("n.kind") == F.col("p.kind")) & (F.col("p.value").isNull() | (F.col("n.value") == F.col("p.value")))
+        at, depth = _anchor(steps)
+        if steps[at]["kinds"]:
+            starts += [(key, kind, steps[at]["value"], depth) for kind in steps[at]["kinds"]]
+        else:
+            fitting.append((key, steps[at]["field"], steps[at]["like"], depth))
+    # Both are as large as the rules.
+    anchors, names = F.broadcast(spark.createDataFrame(starts, "key string, kind string, value string, depth int")), F.broadcast(spark.createDataFrame(fitting, "key string, field string, like string, depth int"))
+    fixed = nodes.alias("n").join(anchors.alias("p"), (F.col("n.kind") == F.col("p.kind")) & (F.col("p.value").isNull() | (F.col("n.value") == F.col("p.value"))))
+    fit = nodes.alias("n").join(names.alias("p"), (F.col("n.field") == F.col("p.field")) & F.regexp_like(F.substr(shown("n.kind", "n.value", "n.shape"), F.lit(3)), F.col("p.like")))
     root = F.when(F.col("p.depth") == 0, F.col("n.node")).otherwise(F.get("n.up", F.col("p.depth") - 1))
     above = F.coalesce(F.get("n.up", F.col("p.depth")), F.lit(-1))
-    found = nodes.alias("n").join(anchors.alias("p"), cond).select("p.key", "n.path", root.alias("root"), above.alias("root_parent")).where("root is not null").distinct()
+    rooted = lambda df: df.select("p.key", "n.path", root.alias("root"), above.alias("root_parent"))
+    found = rooted(fixed).unionAll(rooted(fit)).where("root is not null").distinct()
     empty = F.array().cast("array<int>")
     found = found.select("*", empty.alias("at"), empty.alias("places"), F.create_map().cast("map<string,string>").alias("binds"), F.create_map().cast("map<string,int>").alias("spots"), *[F.lit(None).cast("int").alias(c) for c in ("r_last", "r_line", "r_end")])
     # The root is met as a child of its parent, like all other nodes; so is what stands in for steps that a short pattern lacks.
