@@ -30,6 +30,8 @@ SKIPPED = (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
 BLOCKS = ("body", "orelse", "finalbody", "handlers", "cases")
 #: Expressions of so many nodes, and strings of so many characters, at most are known by their code, longer ones by a hash of it.
 SHOWN, LONG = 24, 100
+#: Patterns of so many steps at most go through the rounds together, so that short ones are not carried through the rounds of long ones.
+LENGTHS = (3, 6)
 COLUMNS = [c.split()[0] for c in NODE.split(", ")]
 
 
@@ -284,12 +286,24 @@ def match(nodes: DataFrame, patterns: dict[str, str], likes: dict[str, dict[str,
     root = F.when(F.col("p.depth") == 0, F.col("n.node")).otherwise(F.get("n.up", F.col("p.depth") - 1))
     above = F.coalesce(F.get("n.up", F.col("p.depth")), F.lit(-1))
     rooted = lambda df: df.select("p.key", "n.path", root.alias("root"), above.alias("root_parent"))
-    found = rooted(fixed).unionAll(rooted(fit)).where("root is not null").distinct()
+    start = rooted(fixed).unionAll(rooted(fit)).where("root is not null").distinct()
     empty = F.array().cast("array<int>")
-    found = found.select("*", empty.alias("at"), empty.alias("places"), F.create_map().cast("map<string,string>").alias("binds"), F.create_map().cast("map<string,int>").alias("spots"), *[F.lit(None).cast("int").alias(c) for c in ("r_last", "r_line", "r_end")])
+    start = start.select("*", empty.alias("at"), empty.alias("places"), F.create_map().cast("map<string,string>").alias("binds"), F.create_map().cast("map<string,int>").alias("spots"), *[F.lit(None).cast("int").alias(c) for c in ("r_last", "r_line", "r_end")])
     # The root is met as a child of its parent, like all other nodes; so is what stands in for steps that a short pattern lacks.
     side = nodes.select(F.col("path").alias("n_path"), F.coalesce("parent", F.lit(-1)).alias("n_parent"), "node", "field", "pos", "kind", "value", "shape", "sizes", "last", "line", "end_line")
-    for i in range(max(map(len, compiled.values()), default=0)):
+    done = None
+    for low, high in itertools.pairwise((0, *LENGTHS, max(map(len, compiled.values()), default=0))):
+        some = {key: steps for key, steps in compiled.items() if low < len(steps) <= high}
+        if some:
+            found = _rounds(start.where(F.col("key").isin(*some)), side, some)
+            done = found if done is None else done.unionAll(found)
+    return done.select("key", "path", F.col("root").alias("node"), F.col("r_last").alias("last"), F.col("r_line").alias("line"), F.col("r_end").alias("end_line"), "binds", F.col("spots").alias("places"))
+
+
+def _rounds(found: DataFrame, side: DataFrame, compiled: dict[str, list[dict]]) -> DataFrame:
+    """The candidates that all steps of their pattern fit, a join for each step of the longest one."""
+    spark = found.sparkSession
+    for i in range(max(map(len, compiled.values()))):
         table = F.broadcast(spark.createDataFrame([(key, steps[i] if i < len(steps) else None) for key, steps in compiled.items()], f"key string, step {STEP}"))
         s, first = F.col("step"), F.lit(i == 0)
         live = found.join(table, "key").withColumn("over", s.isNull())
@@ -317,7 +331,7 @@ def match(nodes: DataFrame, patterns: dict[str, str], likes: dict[str, dict[str,
             F.when(news, F.map_concat("spots", F.create_map(F.coalesce(s["bind"], F.lit("")), F.col("node")))).otherwise(F.col("spots")).alias("spots"),
             *[(F.col(c) if i == 0 else F.col(r)).alias(r) for r, c in (("r_last", "last"), ("r_line", "line"), ("r_end", "end_line"))],
         )
-    return found.select("key", "path", F.col("root").alias("node"), F.col("r_last").alias("last"), F.col("r_line").alias("line"), F.col("r_end").alias("end_line"), "binds", F.col("spots").alias("places"))
+    return found
 
 
 # ---- rules
