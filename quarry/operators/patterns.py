@@ -288,16 +288,18 @@ def match(nodes: DataFrame, patterns: dict[str, str], likes: dict[str, dict[str,
     rooted = lambda df: df.select("p.key", "n.path", root.alias("root"), above.alias("root_parent"))
     start = rooted(fixed).unionAll(rooted(fit)).where("root is not null").distinct()
     empty = F.array().cast("array<int>")
-    start = start.select("*", empty.alias("at"), empty.alias("places"), F.create_map().cast("map<string,string>").alias("binds"), F.create_map().cast("map<string,int>").alias("spots"), *[F.lit(None).cast("int").alias(c) for c in ("r_last", "r_line", "r_end")])
+    start = start.select("*", empty.alias("at"), empty.alias("places"), F.create_map().cast("map<string,string>").alias("binds"), F.create_map().cast("map<string,int>").alias("spots"))
     # The root is met as a child of its parent, like all other nodes; so is what stands in for steps that a short pattern lacks.
-    side = nodes.select(F.col("path").alias("n_path"), F.coalesce("parent", F.lit(-1)).alias("n_parent"), "node", "field", "pos", "kind", "value", "shape", "sizes", "last", "line", "end_line")
+    # Every round reads the same columns of it, so it is shuffled once for all of them.
+    side = nodes.select(F.col("path").alias("n_path"), F.coalesce("parent", F.lit(-1)).alias("n_parent"), "node", "field", "pos", "kind", "value", "shape", "sizes")
     done = None
     for low, high in itertools.pairwise((0, *LENGTHS, max(map(len, compiled.values()), default=0))):
         some = {key: steps for key, steps in compiled.items() if low < len(steps) <= high}
         if some:
             found = _rounds(start.where(F.col("key").isin(*some)), side, some)
             done = found if done is None else done.unionAll(found)
-    return done.select("key", "path", F.col("root").alias("node"), F.col("r_last").alias("last"), F.col("r_line").alias("line"), F.col("r_end").alias("end_line"), "binds", F.col("spots").alias("places"))
+    ends = nodes.select("path", F.col("node").alias("root"), "last", "line", "end_line")
+    return done.join(ends, ["path", "root"]).select("key", "path", F.col("root").alias("node"), "last", "line", "end_line", "binds", F.col("spots").alias("places"))
 
 
 def _rounds(found: DataFrame, side: DataFrame, compiled: dict[str, list[dict]]) -> DataFrame:
@@ -322,14 +324,13 @@ def _rounds(found: DataFrame, side: DataFrame, compiled: dict[str, list[dict]])
             & (s["like"].isNull() | F.regexp_like(F.substr(got, F.lit(3)), s["like"]))
         )
         stay = F.col("node") == F.col("root")
-        here = F.when(F.col("over"), stay).when(first, stay & fits).otherwise((F.col("field") == s["field"]) & fits)
+        here = F.when(F.col("over"), stay).when(first, stay & F.col("field").isNotNull() & fits).otherwise((F.col("field") == s["field"]) & fits)
         joined = live.join(side, (F.col("path") == F.col("n_path")) & (F.col("want") == F.col("n_parent")) & F.coalesce(here, F.lit(False)))
         news = ~F.col("over") & s["bind"].isNotNull() & held.isNull()
         found = joined.select(
             "key", "path", "root", "root_parent", F.when(F.col("over"), F.col("at")).otherwise(F.array_append("at", F.col("node"))).alias("at"), F.when(F.col("over"), F.col("places")).otherwise(F.array_append("places", F.col("pos"))).alias("places"),
             F.when(news, F.map_concat("binds", F.create_map(F.coalesce(s["bind"], F.lit("")), got))).otherwise(F.col("binds")).alias("binds"),
             F.when(news, F.map_concat("spots", F.create_map(F.coalesce(s["bind"], F.lit("")), F.col("node")))).otherwise(F.col("spots")).alias("spots"),
-            *[(F.col(c) if i == 0 else F.col(r)).alias(r) for r, c in (("r_last", "last"), ("r_line", "line"), ("r_end", "end_line"))],
         )
     return found
 
