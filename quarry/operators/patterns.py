@@ -14,6 +14,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import itertools
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -271,21 +272,21 @@ def match(nodes: DataFrame, patterns: dict[str, str], likes: dict[str, dict[str,
     spark = nodes.sparkSession
     compiled = {key: steps_of(text) for key, text in patterns.items()}
     starts, fitting = [], []
-    for key, steps in compiled.items():
+    for no, (key, steps) in enumerate(compiled.items()):
         for step in steps:
             step["like"] = (likes or {}).get(key, {}).get(step["bind"])
         at, depth = _anchor(steps)
         if steps[at]["kinds"]:
-            starts += [(key, kind, steps[at]["value"], depth) for kind in steps[at]["kinds"]]
+            starts += [(no, kind, steps[at]["value"], depth) for kind in steps[at]["kinds"]]
         else:
-            fitting.append((key, steps[at]["field"], steps[at]["like"], depth))
+            fitting.append((no, steps[at]["field"], steps[at]["like"], depth))
     # Both are as large as the rules.
-    anchors, names = F.broadcast(spark.createDataFrame(starts, "key string, kind string, value string, depth int")), F.broadcast(spark.createDataFrame(fitting, "key string, field string, like string, depth int"))
+    anchors, names = F.broadcast(spark.createDataFrame(starts, "no int, kind string, value string, depth int")), F.broadcast(spark.createDataFrame(fitting, "no int, field string, like string, depth int"))
     fixed = nodes.alias("n").join(anchors.alias("p"), (F.col("n.kind") == F.col("p.kind")) & (F.col("p.value").isNull() | (F.col("n.value") == F.col("p.value"))))
     fit = nodes.alias("n").join(names.alias("p"), (F.col("n.field") == F.col("p.field")) & F.regexp_like(F.substr(shown("n.kind", "n.value", "n.shape"), F.lit(3)), F.col("p.like")))
     root = F.when(F.col("p.depth") == 0, F.col("n.node")).otherwise(F.get("n.up", F.col("p.depth") - 1))
     above = F.coalesce(F.get("n.up", F.col("p.depth")), F.lit(-1))
-    rooted = lambda df: df.select("p.key", "n.path", root.alias("root"), above.alias("root_parent"))
+    rooted = lambda df: df.select("p.no", "n.path", root.alias("root"), above.alias("root_parent"))
     start = rooted(fixed).unionAll(rooted(fit)).where("root is not null").distinct()
     empty = F.array().cast("array<int>")
     start = start.select("*", empty.alias("at"), empty.alias("places"), F.create_map().cast("map<string,string>").alias("binds"), F.create_map().cast("map<string,int>").alias("spots"))
@@ -294,21 +295,21 @@ def match(nodes: DataFrame, patterns: dict[str, str], likes: dict[str, dict[str,
     side = nodes.select(F.col("path").alias("n_path"), F.coalesce("parent", F.lit(-1)).alias("n_parent"), "node", "field", "pos", "kind", "value", "shape", "sizes")
     done = None
     for low, high in itertools.pairwise((0, *LENGTHS, max(map(len, compiled.values()), default=0))):
-        some = {key: steps for key, steps in compiled.items() if low < len(steps) <= high}
+        some = {no: steps for no, steps in enumerate(compiled.values()) if low < len(steps) <= high}
         if some:
-            found = _rounds(start.where(F.col("key").isin(*some)), side, some)
+            found = _rounds(start.where(F.col("no").isin(*some)), side, some)
             done = found if done is None else done.unionAll(found)
     ends = nodes.select("path", F.col("node").alias("root"), "last", "line", "end_line")
-    return done.join(ends, ["path", "root"]).select("key", "path", F.col("root").alias("node"), "last", "line", "end_line", "binds", F.col("spots").alias("places"))
+    key = F.get(F.array(*map(F.lit, compiled)), F.col("no"))
+    return done.join(ends, ["path", "root"]).select(key.alias("key"), "path", F.col("root").alias("node"), "last", "line", "end_line", "binds", F.col("spots").alias("places"))
 
 
-def _rounds(found: DataFrame, side: DataFrame, compiled: dict[str, list[dict]]) -> DataFrame:
-    """The candidates that all steps of their pattern fit, a join for each step of the longest one."""
-    spark = found.sparkSession
+def _rounds(found: DataFrame, side: DataFrame, compiled: dict[int, list[dict]]) -> DataFrame:
+    """The candidates that all steps of their pattern (by its number) fit, a join for each step of the longest one. A round's steps are a constant of the plan."""
     for i in range(max(map(len, compiled.values()))):
-        table = F.broadcast(spark.createDataFrame([(key, steps[i] if i < len(steps) else None) for key, steps in compiled.items()], f"key string, step {STEP}"))
+        of_round = [compiled[no][i] if no in compiled and i < len(compiled[no]) else None for no in range(max(compiled) + 1)]
         s, first = F.col("step"), F.lit(i == 0)
-        live = found.join(table, "key").withColumn("over", s.isNull())
+        live = found.withColumn("step", F.get(F.from_json(F.lit(json.dumps(of_round)), f"array<{STEP}>"), F.col("no"))).withColumn("over", s.isNull())
         live = live.withColumn("want", F.when(F.col("over") | first, F.col("root_parent")).otherwise(F.get("at", s["parent"])))
         got = F.when(s["bind_from"] == "shape", shown()).when(s["bind_from"] == "name", F.concat(F.lit("n:"), "value")).when(s["bind_from"] == "value", F.col("value"))
         held = F.element_at("binds", s["bind"])
@@ -328,7 +329,7 @@ def _rounds(found: DataFrame, side: DataFrame, compiled: dict[str, list[dict]])
         joined = live.join(side, (F.col("path") == F.col("n_path")) & (F.col("want") == F.col("n_parent")) & F.coalesce(here, F.lit(False)))
         news = ~F.col("over") & s["bind"].isNotNull() & held.isNull()
         found = joined.select(
-            "key", "path", "root", "root_parent", F.when(F.col("over"), F.col("at")).otherwise(F.array_append("at", F.col("node"))).alias("at"), F.when(F.col("over"), F.col("places")).otherwise(F.array_append("places", F.col("pos"))).alias("places"),
+            "no", "path", "root", "root_parent", F.when(F.col("over"), F.col("at")).otherwise(F.array_append("at", F.col("node"))).alias("at"), F.when(F.col("over"), F.col("places")).otherwise(F.array_append("places", F.col("pos"))).alias("places"),
             F.when(news, F.map_concat("binds", F.create_map(F.coalesce(s["bind"], F.lit("")), got))).otherwise(F.col("binds")).alias("binds"),
             F.when(news, F.map_concat("spots", F.create_map(F.coalesce(s["bind"], F.lit("")), F.col("node")))).otherwise(F.col("spots")).alias("spots"),
         )
