@@ -46,3 +46,22 @@ def unserved_calls(spark, d):
     served, called = _made(spark, d)
     mounts = spark.range(1).select(F.lit("/promo/burnished/").alias("path"))
     return routes.unmatched_calls(called, served.where(~F.startswith("path", F.lit("/promo"))), mounts)
+
+
+_GATES = [("addressed", 1, "@[a-z]+[.]", None, 5), ("licensed", 1, "[Ll]icensed under", None, 1), ("licensed", 1, None, "toxic", 1), ("either", 1, "no such words anywhere", None, 1), ("either", 2, None, "labels", 10), ("never", 1, "no such words anywhere", None, 1), ("never", 1, None, "labels", 1)]
+_GUARDS = [("addressed", "masking", "mask_email"), ("addressed", "dots", "[.]"), ("licensed", "notice file", "NOTICE file"), ("either", "ledger", "ledger_of_labels"), ("never", "closed", "also absent")]
+
+
+@query(f"""WITH n AS (SELECT 'addressed' AS gate, 1 AS alternative, sum(len(regexp_extract_all(text, '@[a-z]+[.]'))) >= 5 AS met FROM documents UNION ALL
+    SELECT 'licensed', 1, sum(len(regexp_extract_all(text, '[Ll]icensed under'))) >= 1 AND (SELECT sum(toxic) FROM labels) >= 1 FROM documents UNION ALL
+    SELECT 'either', 2, (SELECT count(*) FROM labels) >= 10),
+    g AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _GUARDS)}) AS t(gate, control, evidence))
+    SELECT gate, control, evidence FROM g WHERE gate IN (SELECT gate FROM n WHERE met) AND NOT EXISTS (SELECT 1 FROM documents WHERE regexp_matches(text, evidence))""")
+def gated_controls(spark, d):
+    """Controls without evidence in the documents whose gate is open."""
+    from quarry.operators import gates
+
+    labels = table(spark, d, "labels")
+    facts = labels.agg(F.sum("toxic").cast("long").alias("n")).select(F.lit("toxic").alias("fact"), "n").union(labels.agg(F.count("*").alias("n")).select(F.lit("labels").alias("fact"), "n"))
+    controls = spark.createDataFrame(_GUARDS, "gate string, control string, evidence string")
+    return gates.missing_controls(controls, gates.conditions(spark, _GATES), table(spark, d, "documents").select("text"), facts).select("gate", "control", "evidence")
