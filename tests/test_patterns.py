@@ -4,7 +4,7 @@ import ast
 
 import pytest
 
-from quarry.operators import dataflow, patterns, pattern_rules
+from quarry.operators import dataflow, node_signals, pattern_rules, patterns
 from quarry.operators.patterns import Rule
 from quarry.plans import derived_sources
 from quarry.shared import written
@@ -92,11 +92,12 @@ def test_rules_combine_matches(nodes):
 
 def test_every_rule_has_a_pair_and_fires_on_one_half(spark):
     names = {r.name for r in [*pattern_rules.RULES, *pattern_rules.FLOWS]}
-    assert names == {rule for rule, *_ in derived_sources.PAIRS} and len(names) == len(derived_sources.PAIRS)
-    rows = [(f"{rule}/{half}.py", code) for rule, fires, _, safe in derived_sources.PAIRS for half, code in (("fires", fires), ("safe", safe))]
+    pairs = [p for p in derived_sources.PAIRS if p[0] in names]
+    assert len(names) == len(pairs) == len(derived_sources.PAIRS) - 1  # the last one is of a signal
+    rows = [(f"{rule}/{half}.py", code) for rule, fires, _, safe in pairs for half, code in (("fires", fires), ("safe", safe))]
     tree = written(patterns.syntax_nodes(spark.createDataFrame(rows, "path string, text string")))
     found = patterns.run_rules(tree, pattern_rules.RULES, written).select("rule", "path", "line").unionByName(dataflow.flows(tree, pattern_rules.FLOWS).select("rule", "path", "line"))
-    assert sorted(map(tuple, found.distinct().collect())) == sorted((rule, f"{rule}/fires.py", line) for rule, _, lines, _ in derived_sources.PAIRS for line in lines)
+    assert sorted(map(tuple, found.distinct().collect())) == sorted((rule, f"{rule}/fires.py", line) for rule, _, lines, _ in pairs for line in lines)
 
 
 FLOW = '''def f(a, c):
@@ -140,3 +141,11 @@ def test_flows_follow_assignments(spark):
     tree = written(patterns.syntax_nodes(spark.createDataFrame([("f.py", code), ("g.py", "def g(a):\n    open(a)\n")], "path string, text string")))
     rule = dataflow.Flow("r", "ERROR", ("$F.filename",), ("open($SINK)",), ("clean(...)",))
     assert sorted(r["line"] for r in dataflow.flows(tree, [rule]).collect()) == [6, 8, 11]
+
+
+def test_leaky_sessions_and_toothless_tests(spark):
+    _, leaks, lines, safe = derived_sources.PAIRS[-1]
+    tree = written(patterns.syntax_nodes(spark.createDataFrame([("a.py", leaks), ("b.py", safe)], "path string, text string")))
+    assert sorted((r["path"], r["line"], r["name"]) for r in node_signals.leaky_sessions(tree).collect()) == [("a.py", lines[0], "get_db"), ("a.py", lines[1], "inner")]
+    files = [("tests/test_a.py", "def test_a():\n    run()"), ("tests/test_b.py", "assert 1"), ("tests/test_c.py", "with pytest.raises(E): f()"), ("tests/test_d.py", None), ("src/a.py", "run()"), ("tests/data.json", "{}")]
+    assert sorted(r["path"] for r in node_signals.toothless_tests(spark.createDataFrame(files, "path string, text string")).collect()) == ["tests/test_a.py", "tests/test_d.py"]
