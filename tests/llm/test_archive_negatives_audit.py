@@ -275,3 +275,22 @@ def test_audit_empty_tables(spark):
     assert filter_audit.audit(docs(spark, []), marks(spark, LABELS)).collect() == []
     got = filter_audit.audit(docs(spark, [(1, "a", "s")]), marks(spark, [])).collect()
     assert len(got) == 600 and {r["good_lost"] for r in got} == {0}
+
+
+# ---- the registered queries
+
+
+@pytest.mark.parametrize("name", ["op11_warc_archive", "op12_hard_negatives", "op13_filter_audit"])
+def test_query_equals_oracle(spark, name):
+    import duckdb
+
+    from quarry.llm.queries import ORACLES, QUERIES
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got = QUERIES[name](spark, data)
+    names = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall()
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(want)
