@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.predicates import cited_paths
-from quarry.functions.scalars import SEVERITIES, jaccard, rank_of, title_terms
+from quarry.functions.scalars import SEVERITIES, rank_of, title_terms
 from quarry.operators.containment import containing
-from quarry.operators.joins import matching_paths, near_spans
+from quarry.operators.joins import matching_paths, near_spans, similar_sets
 from quarry.operators.windows import first_by, numbered
 from quarry.shared import written
 
@@ -114,14 +114,15 @@ def hypotheses(stated: DataFrame, files: DataFrame, least: int = 6, alike: float
     words = stated.withColumn("terms", title_terms(F.col("statement"), 4))
     known = F.broadcast(files.select(F.col("path").alias("p")).distinct()) if files.limit(100_001).count() <= 100_000 else files.select(F.col("path").alias("p")).distinct()
     missing = words.select("lane", "seq", F.explode("paths").alias("p")).join(known, "p", "left_anti").select("lane", "seq").distinct().withColumn("lost", F.lit(True))
-    # Two similar sets share a term, so only statements of a lane that share one meet.
-    spread = words.select("lane", "seq", "terms", F.explode("terms").alias("t"))
-    other = spread.select("lane", "t", F.col("seq").alias("seq0"), F.col("terms").alias("terms0"))
-    close = spread.join(other, ["lane", "t"]).where((F.col("seq0") < F.col("seq")) & (jaccard(F.col("terms"), F.col("terms0")) >= alike)).select("lane", "seq").distinct().withColumn("again", F.lit(True))
+    # Equal sets of a lane meet once, as a set of its first statement; only unlike sets are compared.
+    known_sets = written(words.where(F.size("terms") > 0).groupBy("lane", "terms").agg(F.min("seq").alias("first")).withColumn("set", F.struct("first", F.xxhash64("terms").alias("hash"))))
+    pairs = similar_sets(known_sets, "set", "terms", alike, ("lane",)).where("a.first < b.first")
+    like = known_sets.join(pairs.select("lane", F.col("b").alias("set"), F.lit(True).alias("like")).distinct(), ["lane", "set"], "left").select("lane", "terms", "first", "like")
+    close = words.join(like, ["lane", "terms"]).where((F.col("seq") > F.col("first")) | F.col("like")).select("lane", "seq", "terms").distinct().withColumn("again", F.lit(True))
     many = stated.groupBy("lane").agg(F.count("*").alias("n"))
     hedged = F.col("statement").rlike(r"(?i)\b(may|might|maybe|perhaps|possibly|could)\b")
     fault = F.when(hedged | (F.size("terms") < 5), "vague").when(F.col("lost"), "unknown file").when(F.col("again"), "repeated").when(F.col("n") < least, "too few")
-    return words.join(missing, ["lane", "seq"], "left").join(close, ["lane", "seq"], "left").join(many, "lane").select("lane", "seq", fault.alias("fault"))
+    return words.join(missing, ["lane", "seq"], "left").join(close, ["lane", "seq", "terms"], "left").join(many, "lane").select("lane", "seq", fault.alias("fault"))
 
 
 def cites_repository(texts: DataFrame, files: DataFrame) -> DataFrame:
